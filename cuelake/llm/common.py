@@ -30,9 +30,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there and outlives executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # Shuffle files of the finished job go once the driver has collected its garbage; nothing reads them again.
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def count_within(df: DataFrame, most: int) -> bool:
+    """Whether df has at most so many rows: the size check before a broadcast."""
+    return df.limit(most + 1).count() <= most
+
+
+def maybe_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, marked for broadcast if it has at most so many (slim) rows; else it is joined by shuffle."""
+    return F.broadcast(df) if count_within(df, most) else df
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup
 
 
 def queries():
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup, "op10_line_dedup": line_dedup.op10_line_dedup}
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op8_exact_dedup": exact_dedup.OP8_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
