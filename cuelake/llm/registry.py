@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, near_dedup
 
 
 def queries():
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup, "op10_line_dedup": line_dedup.op10_line_dedup}
+    return {
+        "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
+    }
 
 
 def oracle_sql():
