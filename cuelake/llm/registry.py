@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, near_dedup
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, pieces
 
 
 def queries():
     return {
+        "op1_sentencepiece": pieces.op1_sentencepiece,
         "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
