@@ -20,6 +20,7 @@ empty table gives an empty result. Other columns of both inputs are not read.
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -233,16 +234,15 @@ _INDEX: dict = {}
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = RATE, min_item: int = MIN_ITEM, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of docs: id_col and hits, an array of (item_id, start, end, edits)."""
-    held = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text_col, block_chars)]
+    held = [(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(b)) for b in blocks(benchmark, item_col, item_text_col, block_chars)]
 
     def make():
         def indexes():
-            for b in held:
-                key = (b.id, q, window, stride, rate, min_item)
-                if key not in _INDEX:
+            for name, b in held:
+                if name not in _INDEX:
                     _INDEX.clear()  # one block's index at a time bounds a worker's memory
-                    _INDEX[key] = Index(b.value, q, window, stride, rate, min_item)
-                yield _INDEX[key]
+                    _INDEX[name] = Index(b.value, q, window, stride, rate, min_item)
+                yield _INDEX[name]
 
         def each(texts):
             hits = [[] for _ in texts]
