@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, pieces
+from . import chat, decontaminate, exact_dedup, line_dedup, near_dedup, pieces, token_files
 
 
 def queries():
     return {
         "op1_sentencepiece": pieces.op1_sentencepiece,
         "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op5_token_files": token_files.op5_token_files,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_chat_format": chat.op9_chat_format,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op8_exact_dedup": exact_dedup.OP8_SQL, "op9_chat_format": chat.OP9_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
