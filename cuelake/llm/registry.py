@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, line_dedup, near_dedup, pieces, token_files
+from . import chat, decontaminate, exact_dedup, langid, line_dedup, near_dedup, pieces, token_files
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_token_files": token_files.op5_token_files,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_langid": langid.op7_langid,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_chat_format": chat.op9_chat_format,
         "op10_line_dedup": line_dedup.op10_line_dedup,
