@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, langid, line_dedup, near_dedup, pieces, token_files
+from . import chat, decontaminate, exact_dedup, html_main, langid, line_dedup, near_dedup, pieces, pii, token_files
 
 
 def queries():
     return {
         "op1_sentencepiece": pieces.op1_sentencepiece,
+        "op2_html_main": html_main.op2_html_main,
+        "op3_pii": pii.op3_pii,
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_token_files": token_files.op5_token_files,
         "op6_decontaminate": decontaminate.op6_decontaminate,
