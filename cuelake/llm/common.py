@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +32,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there and outlives executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    # Shuffle files of the finished job go once the driver has collected its garbage; nothing reads them again.
-    spark.sparkContext._jvm.System.gc()
-    return out
+    # Shuffle files of the finished job go once the driver has collected its garbage, which frees
+    # what the plan holds first and the shuffles after that; nothing reads them again.
+    del df
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.15)
+    return spark.read.schema(schema).parquet(path)
 
 
 def count_within(df: DataFrame, most: int) -> bool:

@@ -32,7 +32,10 @@ COUNTED = "etanior"
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")))
+    rare = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        rare = rare | F.contains(line, F.lit(c))
+    return F.lower(F.trim(F.when(rare, F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")).otherwise(line)))
 
 
 def letter_counts(line: Column) -> Column:
@@ -53,36 +56,65 @@ def counts_within(a: Column, b: Column, threshold: int) -> Column:
     return total <= 2 * threshold
 
 
-def segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of each of the segments of a line of n characters; the last n mod parts are longer by one."""
-    base, more = F.floor(n / parts).cast("int"), n % parts
-    out, start = [], F.lit(1)
-    for i in range(parts):
-        size = base + F.when(more >= parts - i, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
+def segment(n: Column, parts: int, i: Column) -> tuple[Column, Column]:
+    """(start from 1, length) of segment i of a line of n characters; the last n mod parts are longer by one."""
+    base, long_from = F.floor(n / parts).cast("int"), parts - n % parts
+    return F.lit(1) + i * base + F.greatest(F.lit(0), i - long_from), base + F.when(i >= long_from, 1).otherwise(0)
 
 
-def _key(number: int, n: Column, content: Column) -> Column:
-    return F.xxhash64(F.lit(number), n, content)
+def _key(number: Column, n: Column, content: Column) -> Column:
+    return F.xxhash64(number, n, content)
 
 
 def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    return F.array(*[_key(i, n, F.substring(line, at, size)) for i, (at, size) in enumerate(segments(n, threshold + 1))])
+    def key(i: Column) -> Column:
+        at, size = segment(n, threshold + 1, i)
+        return _key(i, n, F.substring(line, at, size))
+
+    return F.transform(F.array(*map(F.lit, range(threshold + 1))), key)
 
 
 def probe_keys(line: Column, n: Column, threshold: int) -> Column:
     """Keys of the substrings that can equal a segment of a line shorter by 0 to threshold characters."""
-    keys = []
+    places = []
     for shorter in range(threshold + 1):
-        m = n - shorter
-        for i, (at, size) in enumerate(segments(m, threshold + 1)):
+        for i in range(threshold + 1):
             low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
-            for shift in range(low, high + 1):
-                start = at + shift
-                keys.append(F.when((start >= 1) & (start + size - 1 <= n), _key(i, m, F.substring(line, start, size))))
-    return F.array_compact(F.array(*keys))
+            places += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in range(low, high + 1)]
+
+    def key(p: Column) -> Column:
+        m = n - p["shorter"]
+        at, size = segment(m, threshold + 1, p["i"])
+        start = at + p["shift"]
+        return F.when((start >= 1) & (start + size - 1 <= n), _key(p["i"], m, F.substring(line, start, size)))
+
+    return F.array_compact(F.transform(F.array(*places), key))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _common_prefix(s: Column, t: Column) -> Column:
+    """Code points that s and t share at their start, found by halving steps."""
+    most = F.least(F.length(s), F.length(t))
+    steps = F.transform(F.sequence(F.length(F.bin(most)) - 1, F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, F.lit(0), lambda p, w: F.when((p + w <= most) & (F.substring(s, p + 1, w) == F.substring(t, p + 1, w)), p + w).otherwise(p))
+
+
+def bounded_distance(s: Column, t: Column, threshold: int) -> Column:
+    """As banded_distance, which sees only what lies between the common prefix and the common suffix."""
+    def without_suffix(x: Column) -> Column:
+        k = _common_prefix(F.reverse(x["s"]), F.reverse(x["t"]))
+        return let(k, lambda n: F.struct(F.left(x["s"], F.length(x["s"]) - n).alias("s"), F.left(x["t"], F.length(x["t"]) - n).alias("t")))
+
+    def measured(x: Column) -> Column:
+        a, b = F.length(x["s"]), F.length(x["t"])
+        return F.when((a == 0) | (b == 0), F.greatest(a, b).cast("long")).otherwise(banded_distance(x["s"], x["t"], threshold))
+
+    core = let(_common_prefix(s, t), lambda n: F.struct(F.substring(s, n + 1, F.length(s)).alias("s"), F.substring(t, n + 1, F.length(t)).alias("t")))
+    return let(core, lambda x: let(without_suffix(x), measured))
 
 
 def banded_distance(s: Column, t: Column, threshold: int) -> Column:
@@ -97,10 +129,6 @@ def banded_distance(s: Column, t: Column, threshold: int) -> Column:
     a, b, m = F.split(s, ""), F.split(t, ""), F.length(s)
     state = lambda vp, vn, d: F.struct(vp.alias("vp"), vn.alias("vn"), d.alias("d"))
 
-    def let(value: Column, body) -> Column:
-        """body(value), with value computed once."""
-        return F.transform(F.array(value), body)[0]
-
     def bit(word: Column, at: Column | int) -> Column:
         return F.call_function("shiftright", word, at if isinstance(at, Column) else F.lit(at)).bitwiseAND(long(1))
 
@@ -124,7 +152,7 @@ def banded_distance(s: Column, t: Column, threshold: int) -> Column:
 
         return let(matches(j, F.get(b, j - 1)), lambda pm: let((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(long(mask)), with_d0))
 
-    start = state(long(((1 << (threshold + 1)) - 1) << threshold), long(0), long(threshold))
+    start = state(long(((1 << (threshold + 1)) - 1) << threshold), long(0), F.least(m, F.lit(threshold)).cast("long"))
     return F.aggregate(F.sequence(F.lit(1), F.length(t)), start, step, lambda acc: acc["d"])
 
 
@@ -142,10 +170,10 @@ def place() -> Column:
 def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, la, lb, distance) of all different lines within threshold edits of each other.
 
-    lines: x (hash of line) and line, distinct, each of more than threshold characters.
+    lines: x (hash of line), line and its letter counts, distinct, of more than 2 * threshold characters.
     """
     n = F.length("line")
-    slim = lines.select("x", F.col("line"), n.alias("n"), letter_counts(F.col("line")).alias("counts"))
+    slim = lines.select("x", F.col("line"), n.alias("n"), "counts")
     index = slim.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("x").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     probe = slim.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("x").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     # Of equally long lines each pair is met once; the filter is part of the join, so buckets emit only what passes it.
@@ -157,16 +185,16 @@ def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     wanted = maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct())
     texts = staged(lines.select("x", "line").join(wanted, "x", "left_semi"), "line-texts")
     both = pairs.join(texts.select(F.col("x").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("x").alias("b"), F.col("line").alias("lb")), "b")
-    return both.withColumn("distance", banded_distance(F.col("la"), F.col("lb"), threshold)).filter(F.col("distance") <= threshold)
+    return both.withColumn("distance", bounded_distance(F.col("la"), F.col("lb"), threshold)).filter(F.col("distance") <= threshold)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Per row of docs: id_col, n_lines, n_repeated, n_near and text without the dropped lines."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: id_col, the columns in keep, n_lines, n_repeated, n_near and text without the dropped lines."""
     if min_chars <= 2 * threshold:
         raise ValueError("min_chars must exceed twice the threshold")
     seen = occurrences(docs, id_col, text_col, min_chars)
     lines = staged(
-        seen.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).select(F.xxhash64("line").alias("x"), F.unhex(F.md5("line")).alias("h"), "line", "first", "n"),
+        seen.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).select(F.xxhash64("line").alias("x"), F.unhex(F.md5("line")).alias("h"), "line", letter_counts(F.col("line")).alias("counts"), "first", "n"),
         "lines",
     )
     pairs = staged(near_pairs(lines, threshold).select("la", "lb"), "near-lines")
@@ -180,13 +208,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = hit.filter((place() > F.col("first")) | F.col("near")).withColumn("repeated", place() > F.col("first"))
     drops = hit.groupBy("id", "doc_hash").agg(F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("repeated"), F.col("line_no"))).alias("again"))
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"), F.struct(F.lit(0).alias("none"), *keep).alias("kept"))
     joined = rows.alias("r").join(drops.alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.doc_hash") == F.col("d.doc_hash")), "left")
     parts = F.split("r.text", "\n")
     gone, again = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce(F.size("again"), F.lit(0))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
     return joined.select(
         F.col("r.id").alias(id_col),
+        *[F.col("r.kept")[c].alias(c) for c in keep],
         F.size(parts).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(again).cast("long").alias("n_repeated"),
         F.when(F.col("gone").isNull(), 0).otherwise(gone - again).cast("long").alias("n_near"),
