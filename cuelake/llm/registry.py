@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, exact_dedup, html_main, langid, line_dedup, near_dedup, pieces, pii, token_files
 
 
@@ -17,6 +19,7 @@ def queries():
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_chat_format": chat.op9_chat_format,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
