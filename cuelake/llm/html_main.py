@@ -64,13 +64,15 @@ _SCOPES = frozenset({"ul", "ol", "dl", "table", "select", "article", "section",
 
 
 class Node:
-    __slots__ = ("name", "aside", "content", "link", "heading")
+    """An open element; inside tells that it or one around it holds the content."""
 
-    def __init__(self, name: str, aside: bool, content: bool, link: bool, heading: bool):
-        self.name, self.aside, self.content, self.link, self.heading = name, aside, content, link, heading
+    __slots__ = ("name", "aside", "content", "link", "heading", "inside")
 
+    def __init__(self, name: str, aside: bool, content: bool, link: bool, heading: bool, inside: bool):
+        self.name, self.aside, self.content, self.link, self.heading, self.inside = name, aside, content, link, heading, inside
 
-_ROOT = Node("", False, False, False, False)
+
+_ROOT = Node("", False, False, False, False, False)
 
 
 def _open(name: str, tag: str, parent: Node) -> Node:
@@ -81,7 +83,7 @@ def _open(name: str, tag: str, parent: Node) -> Node:
     if name == "header":  # an article's own heading belongs to it; a page's header does not
         aside = not parent.content or bool(names & _ASIDE_NAMES - {"header"})
     content = not aside and (parent.content or name in _CONTENT or bool(names & _CONTENT_NAMES) and name in ("div", "section", "td"))
-    return Node(name, parent.aside or aside, content, parent.link or name == "a", parent.heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"))
+    return Node(name, parent.aside or aside, content, parent.link or name == "a", parent.heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), parent.inside or content)
 
 
 def items(page: str):
@@ -201,8 +203,8 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-#: What a word inside <article> or <main> weighs more, and what leaving such an element costs.
-INSIDE = 6.0
+#: What crossing the border of <article> or <main> costs.
+BORDER = -20.0
 
 
 def extract(page: str | None, weights: Weights | None = None) -> str:
@@ -210,12 +212,12 @@ def extract(page: str | None, weights: Weights | None = None) -> str:
     seq = list(items(page or ""))
     scores = []
     for kind, value, node, _ in seq:
-        if kind == "text":
-            n = len(value.split())
-            scores.append(n * weights.word(context(node)))
+        if node.inside and (node.aside or kind == "tag"):
+            scores.append(0.0)  # what is set aside inside the content is left out below
+        elif kind == "text":
+            scores.append(len(value.split()) * weights.word(context(node)))
         else:
-            scores.append(-20.0 if value in _CONTENT else 0.0 if node.content and not node.aside else weights.tag(value))
-    # Whole elements set aside inside the region count nothing against it: comments after long articles stay out by their node.
+            scores.append(BORDER if value in _CONTENT else weights.tag(value))
     start, end = best_region(scores)
     marked = any(node.content for kind, value, node, _ in seq[start:end] if kind == "text" and value.strip())
     blocks, now = [], []
