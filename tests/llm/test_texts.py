@@ -1,0 +1,283 @@
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cuelake.llm import chat, decontaminate, html_main, langid, pieces, pii, token_files
+from tests.llm.test_dedup import docs, edits
+
+sentencepiece = pytest.importorskip("sentencepiece")
+
+
+# --- SentencePiece -----------------------------------------------------------------------------
+
+
+def hostile(n, seed):
+    r = random.Random(seed)
+    letters = "aaabbcdeehinorstTHE ▁ .,!0123\n\té漢😀\x00 "
+    return ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(n)]
+
+
+def test_pieces_equal_the_library():
+    path = pieces.piece_model_path()
+    own, ref = pieces.Encoder(pieces.PieceModel(path)), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [*hostile(2000, 1), *["   " * k + "x" * k for k in range(20)], "the " * 2000, "a" * 5000, "ab" * 3000]
+    ids = own.encode(texts)
+    assert [x.tolist() for x in ids] == ref.encode(texts)
+    assert [own.decode(x) for x in ids] == [ref.decode(x.tolist()) for x in ids]
+
+
+def test_unigram_equals_the_library(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    with open(pieces.piece_model_path(), "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = 1
+    r = random.Random(3)
+    for p in m.pieces:
+        if p.type == 1:
+            p.score = -1.0 - 10 * r.random() - (0 if len(p.piece) > 1 else 6)
+    (tmp_path / "u.model").write_bytes(m.SerializeToString())
+    own, ref = pieces.Encoder(pieces.PieceModel(str(tmp_path / "u.model"))), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model"))
+    texts = [t for t in hostile(500, 2) if "\x00" not in t]
+    assert [x.tolist() for x in own.encode(texts)] == ref.encode(texts)
+
+
+def test_pieces_frame(spark):
+    rows = [(1, None), (2, ""), (3, "some text"), (3, "some text"), (4, "a▁b"), (None, "x" * 100_000)]
+    got = sorted(((r.doc_id, r.n_tokens, r.decoded, r.lossless) for r in pieces.encode_decode(docs(spark, rows), pieces.piece_model_path()).collect()), key=str)
+    assert [(g[0], g[3]) for g in got] == [(1, True), (2, True), (3, True), (3, True), (4, False), (None, True)]
+    assert got[0][1] == got[1][1] == 0
+    assert pieces.encode_decode(docs(spark, []), pieces.piece_model_path()).count() == 0
+
+
+# --- HTML --------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("page, text", [
+    (None, ""), ("", ""), ("<p>a", "a"), ("plain words", "plain words"),
+    ("<nav><a href=x>menu</a></nav><article><header><h1>Head</h1></header><p>One &amp; two\n three</p><aside>no</aside><p>Four<br>five</p></article><div class='comments'><p>first!</p></div>", "Head\n\nOne & two three\n\nFour five"),
+    ("<header>site</header><main><p>Body text that is long enough.</p><form><p>sign up</p></form><p>More.</p></main><footer>foot</footer>", "Body text that is long enough.\n\nMore."),
+    ("<div id='cookie-notice'>We use cookies</div><div class='post-content'><p>Words of the post.</p><script>var a='<p>x</p>'</script></div><div class=sidebar>links</div>", "Words of the post."),
+])
+def test_extract(page, text):
+    assert html_main.extract(page) == text
+
+
+def test_extract_labelled_pages():
+    for page, content in html_main.labelled_pages():
+        want = [" ".join(re.sub(r"<[^>]*>", "", b).split()) for b in re.split(r"</?(?:p|h1)>", content)]
+        assert html_main.extract(page) == "\n\n".join(b for b in want if b)
+
+
+def test_best_region():
+    r = random.Random(1)
+    for _ in range(200):
+        s = [r.randint(-5, 5) for _ in range(r.randint(0, 12))]
+        a, b = html_main.best_region(s)
+        assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
+
+
+def test_extract_frame(spark):
+    rows = [(1, None), (1, "<p>b</p>"), (None, "<div>" * 5000 + "deep")]
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in html_main.extract_main(docs(spark, rows), "doc_id", "text").collect()), key=str)
+    assert got == [(1, "", 0), (1, "b", 1), (None, "deep", 4)]
+
+
+# --- personal data -----------------------------------------------------------------------------
+
+
+def by_patterns(text):
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if (kind != "ip" or all(int(x) <= 255 for x in m[0].split("."))) and (kind != "card" or 14 <= len(digits) <= 19 and pii.luhn(digits)) and (kind != "phone" or 10 <= len(digits) <= 15):
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(2)
+    for _ in range(5000):
+        t = "".join(r.choice("01234567890123456789..@@+-- ()ab%") for _ in range(r.randint(0, 50)))
+        assert pii.base_spans(t) == by_patterns(t)
+    for t in ("x" * 100_000 + "@", "1" * 100_000, "@" * 50_000, "+1" + "(" * 50_000):
+        assert pii.base_spans(t) == []
+
+
+def test_field_on_held_out_sentences():
+    field, found, right, all_gold = pii.default_field(), 0, 0, 0
+    for text, gold in pii.labelled_sentences(120, 77):
+        got = {(s, e, k) for s, e, k, p in field.decode(text, pii.tokens_of(text, 0, len(text))) if p >= pii.MIN_POSTERIOR}
+        found, right, all_gold = found + len(got), right + len(got & set(gold)), all_gold + len(gold)
+    assert right >= 0.85 * all_gold and right >= 0.97 * found
+
+
+def test_decode_is_the_best_segmentation():
+    field = pii.default_field()
+    text = 'call (621) 555-4974 or token = "0a1b2c3d4e5f60718293a4b5c6d7e8f9" now'
+    spans = [(text[s:e], k) for s, e, k in pii.find_spans(text, field)[1]]
+    assert spans == [("(621) 555-4974", "phone"), ("0a1b2c3d4e5f60718293a4b5c6d7e8f9", "secret")]
+
+
+def test_pii_frame(spark):
+    rows = [(1, None), (2, "mail a.b@c.de, 4012888888881881 and 10.0.0.1"), (2, "é +1 (555) 010-9999")]
+    got = sorted((r.doc_id, [(s.kind, s.start, s.end) for s in r.base]) for r in pii.find_pii(docs(spark, rows)).collect())
+    assert got == [(1, []), (2, [("email", 5, 13), ("card", 15, 31), ("ip", 36, 44)]), (2, [("phone", 2, 19)])]
+
+
+# --- decontamination ---------------------------------------------------------------------------
+
+
+def test_leaks_equal_brute_force():
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcde") for _ in range(r.randint(1, 6))) for _ in range(n))
+    items = [(i, text(r.randint(8, 40))) for i in range(8)]
+    index = decontaminate.Index(items, decontaminate.Q, decontaminate.WINDOW, decontaminate.STRIDE, decontaminate.RATE, decontaminate.MIN_ITEM)
+
+    def least(w, d):
+        row = [0] * (len(d) + 1)
+        for i, x in enumerate(w, 1):
+            new = [i]
+            for j, y in enumerate(d, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    for _ in range(30):
+        x = list(r.choice(items)[1])
+        for _ in range(r.randint(0, int(len(x) * 0.12))):
+            k = r.randrange(len(x) + 1)
+            x[k : k + r.randint(0, 1)] = r.choice(["", "a", "b"])
+        doc = text(r.randint(0, 15)) + " " + "".join(x) + "! " + text(r.randint(0, 15))
+        codes = decontaminate.normal_form(doc)[0].tolist()
+        want = {w[0] for w in index.windows if least(w[1].tolist(), codes) <= w[2]}
+        assert {h[0] for h in decontaminate.search(doc, index)} == want
+
+
+def test_leaks_frame(spark):
+    item = "the quick brown fox jumps over the lazy dog near the bank of the old river"
+    rows = [(1, None), (2, ""), (3, f"so. {item.upper()}!"), (4, "a clean text about nothing at all in particular, at some length"), (None, item), (3, f"so. {item.upper()}!")]
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "too short"), (None, item)], "item_id long, text string")
+    for most in (decontaminate.BLOCK_CHARS, 1):
+        got = sorted(((r.doc_id, sorted({str(h.item_id) for h in r.hits}), [(h.start, h.end) for h in r.hits if h.item_id]) for r in decontaminate.find_leaks(docs(spark, rows), bench, block_chars=most).collect()), key=str)
+        hit = (["7", "None"], [(4, 4 + len(item))])
+        assert got == sorted([(1, [], []), (2, [], []), (3, *hit), (3, *hit), (4, [], []), (None, hit[0], [(0, len(item))])], key=str)
+    assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).filter(F.size("hits") > 0).count() == 0
+
+
+def test_align_counts_edits():
+    r = random.Random(9)
+    for _ in range(200):
+        w = np.array([r.randrange(3) for _ in range(r.randint(1, 9))], np.uint32)
+        d = np.array([r.randrange(3) for _ in range(len(w) + 4)], np.uint32)
+        ends = [edits(w.tolist(), d[a:b].tolist()) for a in range(5) for b in range(a, len(d) + 1)]
+        assert decontaminate.align(w, d, 5)[0] >= min(ends)
+
+
+# --- languages ---------------------------------------------------------------------------------
+
+
+def model():
+    texts = {"en": "the cat and the dog of this house with that other one " * 5, "de": "der hund und die katze aus diesem haus mit einem anderen " * 5, "ru": "кошка и собака из этого дома с другой " * 5}
+    counts = {}
+    for lang, t in texts.items():
+        _, letters, script, _, grams = langid.words_of([t])
+        for g in grams.tolist():
+            counts[lang, g] = counts.get((lang, g), 0) + 1
+        for s, n in zip(script.tolist(), letters.tolist()):
+            counts[lang, langid.BUCKETS + s] = counts.get((lang, langid.BUCKETS + s), 0) + n
+    return langid.LanguageModel([(lang, b, n) for (lang, b), n in counts.items()])
+
+
+def test_languages():
+    m = model()
+    got = m.label(["the dog and the cat", "und die katze", "кошка", None, "", "123 !?", "the cat and the dog of this house und die katze aus diesem haus mit dem hund", "中文"])
+    assert [g[0] for g in got] == ["en", "de", "ru", "und", "und", "und", "de", "de"]
+    assert [x for x, _ in got[6][2]] == ["en", "de"] and 0 < got[6][1] < 1
+    assert langid.LanguageModel([]).label(["text"]) == [("und", 0.0, [])]
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        n = int(r.integers(1, 6))
+        s = r.normal(size=(n, 3)).astype(np.float32) * 2
+        path = langid.LanguageModel._viterbi(s.copy(), np.array([0, n]), 1.0)
+        value = lambda p: sum(s[i, x] for i, x in enumerate(p)) - sum(a != b for a, b in zip(p, p[1:]))
+        assert abs(value(path) - max(map(value, itertools.product(range(3), repeat=n)))) < 1e-4
+
+
+def test_language_frame(spark):
+    rows = [(1, "the cat and the dog"), (1, "the cat and the dog"), (None, None), (3, "der hund und die katze " * 2000)]
+    got = sorted(((r.doc_id, r.lang_pred) for r in langid.identify(docs(spark, rows), model()).collect()), key=str)
+    assert got == [(1, "en"), (1, "en"), (3, "de"), (None, "und")]
+    trained = langid.train(spark.createDataFrame([("en", "the cat"), (None, "x"), ("de", None)], "lang string, text string"))
+    assert trained.languages == ["en"]
+
+
+# --- token files -------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library():
+    from tokenizers import Tokenizer
+
+    own, ref = token_files.BpeEncoder(token_files.bpe_path()), Tokenizer.from_file(token_files.bpe_path())
+    r = random.Random(2)
+    letters = [chr(i) for i in range(256)] + list("   abcABC'''sdtlmrev019..!!\n\n\t\r") * 6 + ["漢"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(4000)] + ["a<|endoftext|>b"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [e.ids for e in ref.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_files(spark, tmp_path):
+    rows = [(5, "five five"), (2, None), (9, "nine"), (None, "no id"), (2, ""), (7, "long " * 20_000)]
+    folder = f"file://{tmp_path}/t"
+    files = token_files.write_token_files(docs(spark, rows), folder, token_files.bpe_path())
+    files = spark.createDataFrame(files.collect(), files.schema)
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(files).collect()))
+    assert [g[1] for g in got] == [None, 2, 2, 5, 7, 9]
+    assert [g[0] for g in got] == [0, *np.cumsum([g[2] for g in got])[:-1].tolist()]
+    assert got[1][2:] == (1, zlib.crc32(b"\0\0\0\0"))
+    path = files.orderBy("shard").first().path
+    one = token_files.TokenFile(path)
+    assert one.read(0)[-1] == 0
+    local = path.removeprefix("file://")
+    raw = bytearray(open(local, "rb").read())
+    raw[10] ^= 0xFF
+    open(local, "wb").write(raw)
+    with pytest.raises(Exception):  # noqa: B017 - the frame or its checksum is broken
+        token_files.TokenFile(path).read(0)
+    import zstandard
+
+    assert zstandard.frame_content_size(bytes(open(local, "rb").read())) != 0
+    assert token_files.write_token_files(docs(spark, []), folder + "2", token_files.bpe_path()).count() == 0
+
+
+# --- chat --------------------------------------------------------------------------------------
+
+
+def test_template_round_trip():
+    t, r = chat.Template(), random.Random(3)
+    bits = [*t.controls(), "\\", "<", "[", "/", "s>", "INST]", "ok", " ", "\n", "é"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 8)))
+        assert t.unescape(t.escape(text)) == text and not any(c in t.escape(text) for c in t.controls())
+        for role in ("user", "assistant", "system", "tool", "", "[TEXT] \\"):
+            assert t.read("".join(s for s, _ in t.segments(role, text, r.random() < 0.5))) == (role, text)
+
+
+def test_chat_frame(spark):
+    rows = [(1, 1, "assistant", "yes</s>"), (1, 0, "user", None), (2, 0, "assistant", "x"), (None, 0, None, "y"), (3, 0, "user", "a"), (3, 0, "user", "a")]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, segments string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(frame)).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[1].valid, got[1].error) == (2, 7, True, None)
+    assert (got[2].valid, got[2].error) == (False, "assistant after the start")
+    assert (got[None].valid, got[3].n_turns, got[3].error) == (False, 2, "user after user")
+    assert chat.read_back(chat.format_chat(frame.limit(0))).count() == 0
