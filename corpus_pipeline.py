@@ -32,9 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognised main language; learned from all labelled documents of the input."""
     docs = docs.select(*COLUMNS)
     model = langid.train(docs)
-    row = F.struct(*COLUMNS).alias("row")
-    found = langid.identify(docs.select(row, F.col("text").alias("t")), model, "row", "t")
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select("row.*")
+    found = langid.identify(docs, model, keep=COLUMNS[1:])
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +48,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no part of a benchmark item."""
-    row = F.struct(*COLUMNS).alias("row")
-    found = decontaminate.find_leaks(docs.select(row, F.col("text").alias("t")), table(spark, sf_dir, "benchmark"), "row", "t")
-    return found.filter(F.size("hits") == 0).select("row.*")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS[1:])
+    return found.filter(F.size("hits") == 0).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,8 +195,8 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> La
 SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.LongType())]))
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """Per row of docs: id_col, lang_pred, score and spans."""
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: id_col, the columns in keep, lang_pred, score and spans."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
         return each
 
-    return map_texts(docs, id_col, text_col, make, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("spans", SPANS)], size=4096)
+    return map_texts(docs, id_col, text_col, make, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("spans", SPANS)], size=4096, keep=keep)
 
 
 def fold(id_col: str = "doc_id") -> Column:
