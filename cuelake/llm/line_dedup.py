@@ -27,8 +27,8 @@ from .common import maybe_broadcast, staged, table, text_of
 
 THRESHOLD, MIN_CHARS = 2, 24
 
-#: Letters whose counts bound the edit distance from below, one byte each.
-COUNTED = "etanior"
+#: Letters whose counts bound the edit distance from below, one byte each in two longs.
+COUNTED = ("etaniors", "hdlc")
 
 
 def normalised(line: Column) -> Column:
@@ -39,20 +39,29 @@ def normalised(line: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of a few letters modulo 256, packed into a long."""
-    out = F.lit(0).cast("long")
-    for k, c in enumerate(COUNTED):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * k))
-    return out
+    """Struct of two longs: counts of letters modulo 256. Each letter is taken out of what the ones before have left."""
+    letters = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(8 * k).alias("at"), F.lit(i).alias("word")) for i, word in enumerate(COUNTED) for k, c in enumerate(word)])
+    state = lambda rest, c0, c1: F.struct(rest.alias("rest"), c0.alias("c0"), c1.alias("c1"))
+
+    def step(acc: Column, x: Column) -> Column:
+        def counted(rest: Column) -> Column:
+            n = F.call_function("shiftleft", (F.octet_length(acc["rest"]) - F.octet_length(rest)).cast("long").bitwiseAND(F.lit(255)), x["at"])
+            return state(rest, F.when(x["word"] == 0, acc["c0"].bitwiseOR(n)).otherwise(acc["c0"]), F.when(x["word"] == 1, acc["c1"].bitwiseOR(n)).otherwise(acc["c1"]))
+
+        return let(F.replace(acc["rest"], x["c"], F.lit("")), counted)
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(letters, state(line, zero, zero), step, lambda acc: F.struct(acc["c0"].alias("c0"), acc["c1"].alias("c1")))
 
 
 def counts_within(a: Column, b: Column, threshold: int) -> Column:
     """An edit changes the counts by 2 in sum at most, so larger differences rule a pair out."""
     total = F.lit(0).cast("long")
-    for k in range(len(COUNTED)):
-        d = (F.shiftright(a, 8 * k) - F.shiftright(b, 8 * k)).bitwiseAND(F.lit(255))
-        total = total + F.least(d, F.lit(256) - d)
+    for i, letters in enumerate(COUNTED):
+        for k in range(len(letters)):
+            byte = lambda x, i=i, k=k: F.shiftright(x[f"c{i}"], 8 * k).bitwiseAND(F.lit(255))
+            d = (byte(a) - byte(b)).bitwiseAND(F.lit(255))
+            total = total + F.least(d, F.lit(256) - d)
     return total <= 2 * threshold
 
 
@@ -75,12 +84,15 @@ def index_keys(line: Column, n: Column, threshold: int) -> Column:
 
 
 def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line shorter by 0 to threshold characters."""
+    """Keys of the substrings that can equal a segment of a line shorter by 0 to threshold characters.
+
+    A line's own segments are left out: equally long lines that share one meet by their index keys.
+    """
     places = []
     for shorter in range(threshold + 1):
         for i in range(threshold + 1):
             low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
-            places += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in range(low, high + 1)]
+            places += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in range(low, high + 1) if shorter or shift]
 
     def key(p: Column) -> Column:
         m = n - p["shorter"]
@@ -109,9 +121,22 @@ def bounded_distance(s: Column, t: Column, threshold: int) -> Column:
         k = _common_prefix(F.reverse(x["s"]), F.reverse(x["t"]))
         return let(k, lambda n: F.struct(F.left(x["s"], F.length(x["s"]) - n).alias("s"), F.left(x["t"], F.length(x["t"]) - n).alias("t")))
 
+    def possible(x: Column) -> Column:
+        """The segment rule once more: what differs at both ends has threshold - 2 edits left for
+        what lies between, so one of its threshold - 1 segments is in the other, nearly at its place."""
+        s, t, n = x["s"], x["t"], F.length(x["s"]) - 2
+        if threshold == 1:
+            return F.greatest(F.length(s), F.length(t)) <= 1
+        same = n < threshold - 1
+        for i in range(threshold - 1):
+            at, size = segment(n, threshold - 1, F.lit(i))
+            for shift in range(-threshold, threshold + 1):
+                same = same | ((at + 1 + shift >= 1) & (F.substring(t, at + 1 + shift, size) == F.substring(s, at + 1, size)))
+        return same
+
     def measured(x: Column) -> Column:
         a, b = F.length(x["s"]), F.length(x["t"])
-        return F.when((a == 0) | (b == 0), F.greatest(a, b).cast("long")).otherwise(banded_distance(x["s"], x["t"], threshold))
+        return F.when((a == 0) | (b == 0), F.greatest(a, b).cast("long")).when(possible(x), banded_distance(x["s"], x["t"], threshold)).otherwise(F.lit(threshold + 1).cast("long"))
 
     core = let(_common_prefix(s, t), lambda n: F.struct(F.substring(s, n + 1, F.length(s)).alias("s"), F.substring(t, n + 1, F.length(t)).alias("t")))
     return let(core, lambda x: let(without_suffix(x), measured))
@@ -174,14 +199,16 @@ def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     n = F.length("line")
     slim = lines.select("x", F.col("line"), n.alias("n"), "counts")
-    index = slim.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("x").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    # Only the names differ between the two uses of the index, so its exchange is made once.
+    indexed = lambda k: slim.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("x").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
     probe = slim.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("x").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     # Of equally long lines each pair is met once; the filter is part of the join, so buckets emit only what passes it.
-    met = (F.col("nb") - F.col("na")).between(0, threshold) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-    pairs = staged(
-        index.join(probe.hint("merge"), (index["key"] == probe["key"]) & met & counts_within(F.col("ca"), F.col("cb"), threshold)).select("a", "b").distinct(),
-        "line-pairs",
-    )
+    met = (F.col("nb") - F.col("na")).between(0, threshold) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))) & counts_within(F.col("ca"), F.col("cb"), threshold)
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.join(y.hint("merge"), (x["key"] == y["key"]) & met).select("a", "b")
+
+    pairs = staged(joined(indexed("a"), indexed("b")).unionByName(joined(indexed("a"), probe)).distinct(), "line-pairs")
     wanted = maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct())
     texts = staged(lines.select("x", "line").join(wanted, "x", "left_semi"), "line-texts")
     both = pairs.join(texts.select(F.col("x").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("x").alias("b"), F.col("line").alias("lb")), "b")
