@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .arrow import map_texts
 from .common import table
 
-Q, WINDOW, STRIDE, RATE, MIN_ITEM = 10, 100, 50, 0.08, 24
+Q, WINDOW, STRIDE, RATE, MIN_ITEM = 10, 60, 20, 0.07, 24
 #: Characters of benchmark text per broadcast block.
 BLOCK_CHARS = 4_000_000
 _U = np.uint64
@@ -232,8 +232,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int):
 _INDEX: dict = {}
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = RATE, min_item: int = MIN_ITEM, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per row of docs: id_col and hits, an array of (item_id, start, end, edits)."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = RATE, min_item: int = MIN_ITEM, block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: id_col, the columns in keep and hits, an array of (item_id, start, end, edits)."""
     held = [(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(b)) for b in blocks(benchmark, item_col, item_text_col, block_chars)]
 
     def make():
@@ -255,7 +255,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return each
 
-    return map_texts(docs, id_col, text_col, make, [("hits", HITS)], size=2048)
+    return map_texts(docs, id_col, text_col, make, [("hits", HITS)], size=2048, keep=keep)
 
 
 def op6_decontaminate(spark, sf_dir):
