@@ -35,7 +35,9 @@ from .common import table
 
 MARK = "▁"
 #: Distinct words that a worker remembers between batches, and the longest it remembers.
-CACHE_WORDS, CACHE_CHARS = 600_000, 64
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
+#: Pairs of pieces that it remembers as stable or not.
+CACHE_PAIRS = 400_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -74,7 +76,12 @@ class PieceModel:
         self.ties = len(set(ranks)) < len(ranks)
         self.penalty = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
         self._parts: dict[int, tuple] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}
+        #: The longest piece by its last three characters: no longer one needs to be looked up.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
 
     def fallback(self, char: str) -> list[int]:
         raw = char.encode("utf-8", "surrogatepass")
@@ -124,11 +131,8 @@ class PieceModel:
         pair, if it ranks before the merge that used up one of the two; at equal rank the
         one further left comes first.
         """
-        known = self._stable.get((a, b))
-        if known is not None:
-            return known
-        x, y, used, across_wins_ties, ok = a, b, float("inf"), False, True
-        while True:
+        x, y, used, across_wins_ties, ok = a, b, float("inf"), False, self.parts(b) is not None
+        while ok:
             both = self.ids.get(self.text[x] + self.text[y])
             if both is not None and (self.rank[both] < used or across_wins_ties and self.rank[both] == used):
                 ok = False
@@ -141,15 +145,16 @@ class PieceModel:
                 used, across_wins_ties, x = self.rank[x], False, px[1]
             else:
                 used, across_wins_ties, y = self.rank[y], True, py[0]
-        if len(self._stable) > 3_000_000:
+        if len(self._stable) > CACHE_PAIRS:
             self._stable.clear()
-        self._stable[a, b] = ok
+        self._stable[a << 32 | b] = ok
         return ok
 
     def encode_sorted(self, words: list[str]):
         """(word, ids) of sorted distinct words, sharing the states of common prefixes."""
-        # State k: (piece that ends at k or -1 for a character without one, its length, sum of scores).
-        states: list[tuple] = [(None, 0, 0.0)]
+        step = self._best if self.unigram else self._last
+        # By length of prefix: its last piece (-1: a character without one, None: no prefix), that piece's length, the sum of scores.
+        last, size, score = [None], [0], [0.0]
         before = ""
         for word in words:
             if not self.unigram and (self.ties or word.startswith(MARK * 2)):
@@ -163,35 +168,53 @@ class PieceModel:
                 if x != y:
                     break
                 shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(self._best(word, end, states) if self.unigram else self._last(word, end, states))
+            del last[shared + 1 :], size[shared + 1 :], score[shared + 1 :]
+            step(word, shared, last, size, score)
             before = word
             ids, end = [], len(word)
             while end:
-                piece, size, _ = states[end]
-                ids += [piece] if piece >= 0 else self.fallback(word[end - 1])[::-1]
-                end -= size
-            yield word, ids[::-1]
-
-    def _last(self, word: str, end: int, states: list) -> tuple:
-        for start in range(max(0, end - self.longest), end):
-            piece = self.ids.get(word[start:end])
-            if piece is not None and self.parts(piece) is not None:
-                last = states[start][0]
-                if last is None or last < 0 or self.stable(last, piece):
-                    return piece, end - start, 0.0
-        return -1, 1, 0.0
-
-    def _best(self, word: str, end: int, states: list) -> tuple:
-        best = (-1, 1, states[end - 1][2] + self.penalty)
-        if word[end - 1] in self.ids:
-            best = (None, 0, float("-inf"))
-        for start in range(max(0, end - self.longest), end):
-            piece = self.ids.get(word[start:end])
-            if piece is not None and (score := states[start][2] + self.score[piece]) > best[2]:
-                best = (piece, end - start, score)
-        return best
+                piece = last[end]
+                if piece >= 0:
+                    ids.append(piece)
+                else:
+                    ids += self.fallback(word[end - 1])[::-1]
+                end -= size[end]
+            ids.reverse()
+            yield word, ids
+
+    def _last(self, word: str, shared: int, last: list, size: list, score: list) -> None:
+        """Extends the states from a prefix of `shared` characters to the whole word, for BPE."""
+        get, stable, reach = self.ids.get, self._stable.get, self.reach.get
+        for end in range(shared + 1, len(word) + 1):
+            found, length = -1, 1
+            start = end - reach(word[end - 3 : end], 2) if end > 2 else 0
+            for start in range(start if start > 0 else 0, end):
+                piece = get(word[start:end])
+                if piece is None:
+                    continue
+                left = last[start]
+                if left is None or left < 0:
+                    ok = self.parts(piece) is not None
+                else:
+                    ok = stable(left << 32 | piece)
+                    if ok is None:
+                        ok = self.stable(left, piece)
+                if ok:
+                    found, length = piece, end - start
+                    break
+            last.append(found)
+            size.append(length)
+
+    def _best(self, word: str, shared: int, last: list, size: list, score: list) -> None:
+        """The same for a unigram model: the best sum of scores."""
+        for end in range(shared + 1, len(word) + 1):
+            best = (float("-inf"), 0, 0) if word[end - 1] in self.ids else (score[end - 1] + self.penalty, -1, 1)
+            for start in range(max(0, end - self.longest), end):
+                piece = self.ids.get(word[start:end])
+                if piece is not None and (total := score[start] + self.score[piece]) > best[0]:
+                    best = (total, piece, end - start)
+            for held, value in zip((score, last, size), best):
+                held.append(value)
 
 
 class Encoder:
@@ -204,8 +227,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut, prefix = self.cut, MARK if self.model.dummy_prefix else ""
         words = [cut(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        if len(self.cache) > CACHE_WORDS:  # what this batch needs stays
+            self.cache = {w: self.cache[w] for ws in words for w in ws if w in self.cache}
         cache = self.cache
         fresh = {w for ws in words for w in ws if w not in cache}
         long = []
