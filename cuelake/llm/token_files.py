@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,19 +61,20 @@ class BpeEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, words = self.cache, []
+        words = []
         for t in texts:
             try:
                 (t or "").encode("latin-1")
                 words.append(None if any(s in t for s in self.special) else _CUT(t)) if t else words.append([])
             except UnicodeEncodeError:
                 words.append(None)
+        if len(self.cache) > CACHE_WORDS:  # what this batch needs stays
+            self.cache = {w: self.cache[w] for ws in words if ws for w in ws if w in self.cache}
+        cache = self.cache
         fresh = list({w for ws in words if ws for w in ws if w not in cache})
         cache.update(zip(fresh, self._whole(fresh)))
         whole = iter(self._whole([t for t, ws in zip(texts, words) if ws is None]))
