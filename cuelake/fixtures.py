@@ -34,12 +34,21 @@ def texts(spark: SparkSession, sf_dir: str, event_type: str, offset: str) -> Dat
     return rows.join(docs, "text_id").select("video_id", "ord", "start", "end", "text")
 
 
-def primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, "click", "0")
+def whole_texts(spark: SparkSession, sf_dir: str, event_type: str, offset: str) -> DataFrame:
+    """Events of a type with the whole text of a document; four events after one another share one, and all ids are dealt in turn."""
+    docs = table(spark, sf_dir, "documents")
+    ids = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    rows = timed(spark, sf_dir).filter(F.col("event_type") == event_type).withColumn("text_id", F.expr(f"(ord div 4 + {offset}) % {ids}"))
+    lent = docs.select(F.col("doc_id").alias("text_id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    return rows.join(lent, "text_id").select("video_id", "ord", "start", "end", "text")
 
 
-def secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, "signup", "1 + ord % 2")
+def primary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return (whole_texts if whole else texts)(spark, sf_dir, "click", "0")
+
+
+def secondary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return (whole_texts if whole else texts)(spark, sf_dir, "signup", "1 + ord % 2")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +58,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed(spark, sf_dir).select("video_id", "ord", (F.expr("ord % 1000 div 4") * 0.5).cast("double").alias("frame_time"), box.alias("box"), F.concat(F.lit("scene caption "), "event_type", (e % 3).cast("string")).alias("text"), F.lit(0.0).alias("angle"), ((50 + e % 50) / 100.0).alias("confidence"))
 
 
-def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shown(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """On-screen events with box, frame_count and confidence."""
     e = F.col("ord")
     x1, y1 = e * 37 % 300, e * 53 % 120
     box = F.struct(x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), (x1 + 40 + e * 7 % 200).cast("int").alias("x2"), (y1 + 20 + e * 11 % 40).cast("int").alias("y2"))
-    return texts(spark, sf_dir, "purchase", "1 + ord % 4").withColumns({"box": box, "frame_count": e % 9 + 1, "confidence": (50 + e % 50) / 100.0})
+    return (whole_texts if whole else texts)(spark, sf_dir, "purchase", "1 + ord % 4").withColumns({"box": box, "frame_count": e % 9 + 1, "confidence": (50 + e % 50) / 100.0})
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
