@@ -163,6 +163,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = maybe_broadcast(nodes.join(members.select("node").distinct(), "node", "left_semi").select("first.id", "first.text_hash"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text")).alias("d")
     rows = rows.join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.text_hash") == F.col("w.text_hash")), "left_semi")
+    # Rows that repeat an id and text are one row of sets, or prefixes would count their shingles several times.
+    rows = rows.groupBy("id", "text_hash").agg(F.first("text").alias("text"))
     sets = staged(signatures(rows, "id", "text", words, with_sets=True).select("node", "n", "registers", "shingles"), "sets")
 
     stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()

@@ -156,6 +156,24 @@ def test_near_template(spark):
     assert got == brute_near(rows, 3, 85)
 
 
+@pytest.mark.parametrize("seed", [8, 9])
+def test_near_repeated_rows_in_a_mixed_bucket(spark, seed):
+    """Rows that repeat an id and text, null ids among them, count once in the prefix index."""
+    r = random.Random(seed)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        x = list(base)
+        for _ in range(r.randint(0, 12)):
+            x[r.randrange(120)] = f"u{r.randrange(40)}"
+        rows.append((i, " ".join(x)))
+    last = len(rows)  # stands for the null id, which is larger than any other
+    rows.append((last, rows[3][1].replace("t60", "v60", 1)))
+    given = [(None if i == last else i, t) for i, t in rows for _ in range(12)]
+    got = {(last if r.doc_id is None else r.doc_id): (r.n_shingles, last if r.component_id is None else r.component_id) for r in near_dedup.near_dedup(docs(spark, given), words=3, percent=85).collect()}
+    assert got == brute_near(rows, 3, 85)
+
+
 def test_near_cases(spark):
     text = "some words that are the same in all of these rows"
     rows = [(None, text), (4, text), (4, text), (7, text + " x")]
