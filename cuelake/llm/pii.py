@@ -3,8 +3,9 @@
 Base kinds are email, ip, card and phone. Each is matched by its pattern from left to right
 without overlap; matches that fail their test are dropped.
 
-The field works on windows of tokens around whatever may belong to personal data (digits, @,
-spelled-out addresses). It scores whole segments of up to MAX_TOKENS tokens by features of
+The field works on windows of tokens around every segment that it can label: whatever the rest
+of the text, a segment's posterior is bounded by its own score against that of no entity on its
+tokens, and segments of plain words are below the bound as a whole. It scores whole segments of up to MAX_TOKENS tokens by features of
 the segment (shape, digits, check sums, the words before) and of neighbouring kinds; one
 dynamic program chooses boundaries and kinds together. Its weights maximise the likelihood
 of a fixed set of generated, labelled sentences. Spans that it adds (those kinds in forms
@@ -32,8 +33,8 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 MAX_TOKENS = 5
-#: Tokens on either side of a trigger that a window holds.
-AROUND = 4
+#: Tokens on either side of a segment in question that a window holds; features look at four before a segment.
+AROUND = 8
 #: Least posterior probability of an added span.
 MIN_POSTERIOR = 0.9
 
@@ -85,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- the field -------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\s\"'<>{}\[\],;|=:]+(?:[\[(](?:at|dot)[\])][^\s\"'<>]*)?|[=:\"']|\[(?:at|dot)\]")
-_TRIGGER = re.compile(r"[0-9]{3}|@|(?i:\bdot\b)|(?i:[\[(]at[\])])")
+_SPELLED = re.compile(r"at\s*\w+\s*(?:[\[(]dot[\])]|dot\b|\.)\s*\w", re.IGNORECASE)
 CUES = {
     "phone": {"phone", "call", "tel", "telephone", "mobile", "cell", "fax", "ring", "number"},
     "secret": {"token", "key", "secret", "password", "passwd", "pwd", "apikey", "api", "auth", "bearer"},
@@ -93,6 +94,7 @@ CUES = {
     "ip": {"ip", "host", "server", "address", "gateway"},
     "email": {"mail", "email", "e-mail", "contact", "write"},
 }
+_CUE_WORDS = frozenset().union(*CUES.values())
 
 
 def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -198,6 +200,18 @@ class Field:
         self.into = into
         return alpha, beta, float(np.logaddexp.reduce(alpha[n]))
 
+    def weight(self, name: str) -> np.ndarray:
+        return self.w[self.index[name]] if name in self.index else np.zeros(self.kinds)
+
+    def bounds(self) -> tuple[np.ndarray, float]:
+        """(what the neighbours can add to each kind's log odds, the most log odds of a segment of plain words)."""
+        near = (self.move[:, 1:] - self.move[:, :1]).max(axis=0) + np.maximum(0, (self.move[1:, :] - self.move[0]).max(axis=1))
+        one = lambda n: self.weight("bias") + self.weight("digits=0") + self.weight("letters") + self.weight(f"tokens={n}")
+        shapes = [self.w[k][1:] for f, k in self.index.items() if f.startswith("shape=") and not re.search("[9@]", f)]
+        shape = np.max([np.zeros(self.kinds - 1), *shapes], axis=0)
+        none = one(1)[0] + min(0, self.weight("shape=a")[0])
+        return near, max(float((one(n)[1:] + shape + near).max()) - n * none - (n - 1) * self.move[0, 0] for n in range(1, MAX_TOKENS + 1))
+
     def fit(self, examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 12, rate: float = 0.5) -> "Field":
         data = []
         for text, spans in examples:
@@ -316,39 +330,41 @@ def default_field() -> Field:
     return Field().fit(labelled_sentences())
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token windows around triggers."""
-    hits = [m.start() for m in _TRIGGER.finditer(text)]
-    out, done = [], 0
-    stretch: list[int] = []
-    spans = []
-    for h in hits:
-        # A window reaches AROUND tokens to either side; 200 characters hold them, and a longer token ends the window.
-        lo, hi = max(done, h - 200), min(len(text), h + 200)
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = hi
-        else:
-            spans.append([lo, hi])
-    for lo, hi in spans:
-        while 0 < lo and not text[lo - 1].isspace() and not text[lo].isspace():
-            lo += 1
-            if lo >= hi:
-                break
-        toks = tokens_of(text, lo, hi)
-        near = np.zeros(len(toks), bool)
-        for k, (s, e) in enumerate(toks):
-            if _TRIGGER.search(text, s, e):
-                near[max(0, k - AROUND) : k + AROUND + 1] = True
-        stretch = np.flatnonzero(near).tolist()
-        run: list = []
-        for a, k in enumerate(stretch):
-            if run and k != stretch[a - 1] + 1:
-                out.append(run)
-                run = []
-            run.append(toks[k])
-        if run:
-            out.append(run)
-    return out
+def windows(text: str, field: Field) -> list[list[tuple[int, int]]]:
+    """Token windows around every segment whose posterior can reach MIN_POSTERIOR.
+
+    Each way through a segment of a kind has its counterpart that takes the segment's tokens
+    for no entity, so the odds of the segment are at most those of the two on these tokens
+    alone, times the most that the kinds before and after can add.
+    """
+    toks = tokens_of(text, 0, len(text))
+    least = float(np.log(MIN_POSTERIOR / (1 - MIN_POSTERIOR))) - 1e-6
+    if not hasattr(field, "held_bounds"):
+        field.held_bounds = field.bounds()
+    near, plain = field.held_bounds
+    asked: set[tuple[int, int]] = set()
+    for k, (s, e) in enumerate(toks):
+        word = text[s:e]
+        low = word.lower()
+        cue = low in _CUE_WORDS
+        if plain < least and not cue and low.isalpha() and e - s < 20 and not (low == "at" and _SPELLED.match(text, s)):
+            continue
+        # Segments that hold the token, and those that have a feature by it: signs count right behind, cues up to four on.
+        last = k + 4 if cue else k + 1 if word in "=:\"'" else k
+        for i in range(max(0, k - MAX_TOKENS + 1), min(last, len(toks) - 1) + 1):
+            asked.update((i, j) for j in range(max(i, k if i <= k else i) + 1, min(i + MAX_TOKENS, len(toks)) + 1))
+    score = lambda i, j: field.w[[field.index[f] for f in features(text, toks, i, j) if f in field.index]].sum(axis=0)
+    none: dict[int, float] = {}
+    held = np.zeros(len(toks), bool)
+    for i, j in asked:
+        for k in range(i, j):
+            if k not in none:
+                none[k] = float(score(k, k + 1)[0])
+        odds = float((score(i, j)[1:] + near).max()) - sum(none[k] for k in range(i, j)) - (j - i - 1) * field.move[0, 0]
+        if odds >= least:
+            held[max(0, i - AROUND) : j + AROUND] = True
+    cuts = np.flatnonzero(np.diff(np.concatenate(([0], held.astype(np.int8), [0]))))
+    return [toks[a:b] for a, b in zip(cuts[::2].tolist(), cuts[1::2].tolist())]
 
 
 def find_spans(text: str | None, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -356,7 +372,7 @@ def find_spans(text: str | None, field: Field) -> tuple[list[tuple[int, int, str
     text = text or ""
     base = base_spans(text)
     added = []
-    for toks in windows(text):
+    for toks in windows(text, field):
         for s, e, kind, p in field.decode(text, toks):
             if p >= MIN_POSTERIOR and not any(s < y and x < e for x, y, _ in base) and not any(s < y and x < e for x, y, _ in added):
                 added.append((s, e, kind))

@@ -125,6 +125,22 @@ def test_decode_is_the_best_segmentation():
     assert spans == [("(621) 555-4974", "phone"), ("0a1b2c3d4e5f60718293a4b5c6d7e8f9", "secret")]
 
 
+def test_windows_hold_what_the_field_finds_in_whole_texts():
+    field = pii.default_field()
+    secret = "bbad1ecab5a43ebe9e8f8ce17ceff21e10f09c08"
+    assert not re.search("[0-9]{3}", secret)
+    text = "and " * 200 + f'token = "{secret}" ' + "the " * 200
+    assert [(text[s:e], k) for s, e, k in pii.find_spans(text, field)[1]] == [(secret, "secret")]
+    long = "ab1c" * 150 + "123" + "ab1c" * 150
+    assert any(text[s:e] == long for text in ['key = "' + long + '" end'] for w in pii.windows(text, field) for s, e in w)
+    assert field.bounds()[1] < np.log(9)
+    for text, _ in pii.labelled_sentences(60, 5):
+        text = "er on " * 12 + text + "la de " * 12
+        whole = [(s, e, k) for s, e, k, p in field.decode(text, pii.tokens_of(text, 0, len(text))) if p >= 0.95]
+        shown = [(s, e) for w in pii.windows(text, field) for s, _ in w for _, e in w]
+        assert all((s, e) in shown for s, e, _ in whole)
+
+
 def test_pii_frame(spark):
     rows = [(1, None), (2, "mail a.b@c.de, 4012888888881881 and 10.0.0.1"), (2, "é +1 (555) 010-9999")]
     got = sorted((r.doc_id, [(s.kind, s.start, s.end) for s in r.base]) for r in pii.find_pii(docs(spark, rows)).collect())
