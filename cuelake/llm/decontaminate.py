@@ -2,7 +2,9 @@
 
 Texts are compared in normal form: lower case, every run of characters that are neither
 letters nor digits as one space. A benchmark item is cut into overlapping windows (the whole
-item where it is no longer than one). A document holds a window if some stretch of it lies
+item where it is no longer than one): long ones, short ones at a small stride, so that every
+stretch of SHORT + SHORT_STRIDE - 1 characters holds a whole one, and the item itself with an
+edit budget of its own, for reworded items. A document holds a window if some stretch of it lies
 within the window's edit budget. If so, the two share at least
     length + 1 - q * (edits + 1)
 q-grams whose diagonals (document place minus item place) lie within `edits` of each other.
@@ -32,6 +34,8 @@ from .arrow import map_texts
 from .common import table
 
 Q, WINDOW, STRIDE, RATE, MIN_ITEM = 10, 60, 20, 0.07, 24
+#: Further windows: short ones for verbatim passages, with edits at the same rate, and whole items.
+SHORT, SHORT_STRIDE, WHOLE_RATE = 40, 5, 0.08
 #: Characters of benchmark text per broadcast block.
 BLOCK_CHARS = 4_000_000
 _U = np.uint64
@@ -96,10 +100,11 @@ class Index:
             codes, _ = normal_form(text or "")
             if len(codes) < max(min_item, q):
                 continue
-            starts = [0] if len(codes) <= window else sorted({*range(0, len(codes) - window, stride), len(codes) - window})
-            for s in starts:
-                part = codes[s : s + window]
-                edits = budget(len(part), rate)
+            cuts = {(s, s + n): rate for n, step in ((window, stride), (SHORT, SHORT_STRIDE)) if len(codes) > n for s in (*range(0, len(codes) - n, step), len(codes) - n)}
+            cuts[0, len(codes)] = rate if len(codes) <= window else max(rate, WHOLE_RATE)
+            for (s, e), share in cuts.items():
+                part = codes[s:e]
+                edits = budget(len(part), share)
                 least = len(part) + 1 - q * (edits + 1)
                 while least < 1 and edits:  # short windows: the largest budget that the filter can serve
                     edits -= 1

@@ -176,6 +176,20 @@ def test_leaks_equal_brute_force():
         assert {h[0] for h in decontaminate.search(doc, index)} == want
 
 
+def test_every_passage_of_the_promised_length_is_found():
+    r = random.Random(12)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    item = text(50)
+    index = decontaminate.Index([(1, item)], decontaminate.Q, decontaminate.WINDOW, decontaminate.STRIDE, decontaminate.RATE, decontaminate.MIN_ITEM)
+    n = decontaminate.SHORT + decontaminate.SHORT_STRIDE - 1
+    for k in range(len(item) - n + 1):
+        passage = item[k : k + n]
+        if passage == passage.strip():
+            assert decontaminate.search(f"{text(6)} {passage} {text(6)}", index), k
+    changed = [w[:-1] + "z" if i % 5 == 2 else w for i, w in enumerate(item.split())]
+    assert decontaminate.search(" ".join(changed), index)
+
+
 def test_leaks_frame(spark):
     item = "the quick brown fox jumps over the lazy dog near the bank of the old river"
     rows = [(1, None), (2, ""), (3, f"so. {item.upper()}!"), (4, "a clean text about nothing at all in particular, at some length"), (None, item), (3, f"so. {item.upper()}!")]
