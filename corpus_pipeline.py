@@ -19,8 +19,6 @@ from cuelake.llm import decontaminate, langid, line_dedup, near_dedup, pieces
 from cuelake.llm.common import staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is rejected if no language holds at least this share of its letters.
-MIN_LANGUAGE_SHARE = 0.5
 
 
 def _join_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -29,11 +27,11 @@ def _join_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised main language; learned from all labelled documents of the input."""
+    """Documents with a recognised language, mixtures of several included; learned from all labelled documents of the input."""
     docs = docs.select(*COLUMNS)
     model = langid.train(docs)
     found = langid.identify(docs, model, keep=COLUMNS[1:])
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,14 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept["sentencepiece"])
 
 
+def test_mixture_of_languages_stays(spark):
+    parts = {"en": "the cat and the dog of this house with that other one ", "de": "der hund und die katze aus diesem haus mit einem anderen ", "ru": "кошка и собака из этого дома с другой старой деревни и поля "}
+    rows = [(i, t * 8, lang) for i, (lang, t) in enumerate(parts.items())] + [(9, "".join(t * 3 for t in parts.values()), None), (10, "12 !", None)]
+    given = spark.createDataFrame([(i, t, lang, "s", len(t), "r", "h") for i, t, lang in rows], COLS)
+    found = corpus_pipeline.language_id(spark, given, "").collect()
+    assert {r.doc_id for r in found} == {0, 1, 2, 9}
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], COLS)
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
