@@ -89,6 +89,13 @@ def _open(name: str, tag: str, parent: Node) -> Node:
 def items(page: str):
     """('text', raw text, node) and ('tag', name, node inside which it stands, opens) in page order."""
     stack, at, end = [_ROOT], 0, len(page)
+    held: dict[str, int] = {}  # open elements by name: the stack is only searched for what it holds
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            held[node.name] -= 1
+        del stack[k:]
+
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
@@ -102,17 +109,17 @@ def items(page: str):
             continue
         name, closing = name[1].lower(), tag[1] == "/"
         if not closing:
-            if name in _CLOSES:
+            if name in _CLOSES and any(held.get(x) for x in _CLOSES[name]):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name in _CLOSES[name]:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k].name in _SCOPES:
                         break
-            elif name in _BLOCK:  # a block ends an open paragraph
+            elif name not in _CLOSES and name in _BLOCK and held.get("p"):  # a block ends an open paragraph
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == "p":
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k].name in _SCOPES:
                         break
@@ -124,12 +131,12 @@ def items(page: str):
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
                 at = close.start() if close else end
                 continue
-            if len(stack) < 4096:
-                stack.append(node)
+            stack.append(node)
+            held[name] = held.get(name, 0) + 1
         else:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if held.get(name) else ():
                 if stack[k].name == name:
-                    del stack[k:]
+                    cut(k)
                     break
             yield "tag", name, stack[-1], False
 

@@ -74,6 +74,13 @@ def test_extract_labelled_pages():
         assert html_main.extract(page) == "\n\n".join(b for b in want if b)
 
 
+def test_extract_at_any_depth():
+    deep = "<div>" * 6000
+    page = f"{deep}<nav><div><a href=x>menu of links</a></div></nav><article><p>Body text that is long enough.</p><aside>no</aside></article>{'</div>' * 6000}<footer>foot</footer>"
+    assert html_main.extract(page) == "Body text that is long enough."
+    html_main.extract("<b>" * 50_000 + "</i><p>x" * 50_000)
+
+
 def test_best_region():
     r = random.Random(1)
     for _ in range(200):
