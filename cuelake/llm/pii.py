@@ -36,7 +36,7 @@ MAX_TOKENS = 5
 #: Tokens on either side of a segment in question that a window holds; features look at four before a segment.
 AROUND = 8
 #: Least posterior probability of an added span.
-MIN_POSTERIOR = 0.9
+MIN_POSTERIOR = 0.7
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- the field -------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\s\"'<>{}\[\],;|=:]+(?:[\[(](?:at|dot)[\])][^\s\"'<>]*)?|[=:\"']|\[(?:at|dot)\]")
-_SPELLED = re.compile(r"at\s*\w+\s*(?:[\[(]dot[\])]|dot\b|\.)\s*\w", re.IGNORECASE)
+_SPELLED = re.compile(r"\bat\s*\w+\s*(?:[\[(]dot[\])]|dot\b|\.)\s*\w", re.IGNORECASE)
 CUES = {
     "phone": {"phone", "call", "tel", "telephone", "mobile", "cell", "fax", "ring", "number"},
     "secret": {"token", "key", "secret", "password", "passwd", "pwd", "apikey", "api", "auth", "bearer"},
@@ -97,12 +97,42 @@ CUES = {
 _CUE_WORDS = frozenset().union(*CUES.values())
 
 
+#: Signs that end a token without being part of it, or stand alone.
+_STOPS = ".!?%$#*&"
+#: Distinct tokens and stretches between white space that a worker remembers.
+CACHE_TOKENS = 400_000
+
+
+class _Plain(dict):
+    """Whether a token is letters only, or a sign: such tokens alone never make a segment that is an entity."""
+
+    def __missing__(self, token: str) -> bool:
+        low = token.lower()
+        value = low not in _CUE_WORDS and (low.isalpha() and len(token) < 20 or token in _STOPS)
+        if len(token) < 64:
+            self[token] = value
+        return value
+
+
+class _Stretch(dict):
+    """Whether a stretch between white space holds a token that is not plain."""
+
+    def __missing__(self, stretch: str) -> bool:
+        value = not all(_PLAIN[stretch[s:e]] for s, e in tokens_of(stretch, 0, len(stretch)))
+        if len(stretch) < 64:
+            self[stretch] = value
+        return value
+
+
+_PLAIN, _STRETCH = _Plain(), _Stretch()
+
+
 def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Tokens in text[start:end] without the stops at their ends."""
     out = []
     for m in _TOKEN.finditer(text, start, end):
         s, e = m.start(), m.end()
-        while e - s > 1 and text[e - 1] in ".!?%$#*&":
+        while e - s > 1 and text[e - 1] in _STOPS:
             e -= 1
         out.append((s, e))
     return out
@@ -123,6 +153,9 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str
         hexed = re.fullmatch(r"[0-9a-fA-F]+", seg) is not None
         mixed = re.fullmatch(r"[A-Za-z0-9_\-+/=.]+", seg) is not None and letters > 3 and n > 3
         out.append("long hex" if hexed and letters else "long mixed" if mixed else "long other")
+    if j - i == 1 and letters and n:
+        kinds = sum((any(c.islower() for c in seg), any(c.isupper() for c in seg)))
+        out.append(f"mixed {min(len(seg), 40) // 6} {kinds}")
     if "@" in seg:
         out.append("has @")
     low = seg.lower()
@@ -130,6 +163,8 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str
         out.append("spelled address" if re.fullmatch(r"[\w.+-]+\s*(?:[\[(]at[\])]|at)\s*\w+(?:\s*(?:[\[(]dot[\])]|dot|\.)\s*\w{2,6})+", low) else "holds spelled address")
     if re.fullmatch(r"\(?\d{3}\)?[\s.-]?\d{3}[\s.-]\d{4}", seg):
         out.append("phone form")
+    elif re.fullmatch(r"0\d{2,5}(?:[ /-]\d{2,8}){1,4}", seg) and 9 <= n <= 12:
+        out.append("national phone form")
     if 13 <= n <= 19 and not letters and re.fullmatch(r"[0-9 .\-]+", seg):
         out.append("card digits, sum " + ("right" if luhn(digits) else "wrong"))
     if re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}(?:[:/]\d+)?", seg):
@@ -138,7 +173,7 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str
     for kind, cues in CUES.items():
         if cues.intersection(before):
             out.append("after " + kind)
-            out.append(f"after {kind} digits={n // 4}" if n else f"after {kind} none")
+            out.append(f"after {kind} mixed {j - i > 1}" if n and letters else f"after {kind} digits={n // 4}" if n else f"after {kind} none")
     if i and text[toks[i - 1][0] : toks[i - 1][1]] in "=:\"'":
         out.append("after sign")
     return out
@@ -206,13 +241,14 @@ class Field:
     def bounds(self) -> tuple[np.ndarray, float]:
         """(what the neighbours can add to each kind's log odds, the most log odds of a segment of plain words)."""
         near = (self.move[:, 1:] - self.move[:, :1]).max(axis=0) + np.maximum(0, (self.move[1:, :] - self.move[0]).max(axis=1))
-        one = lambda n: self.weight("bias") + self.weight("digits=0") + self.weight("letters") + self.weight(f"tokens={n}")
+        one = lambda n: self.weight("bias") + self.weight("digits=0") + np.maximum(self.weight("letters"), self.weight("no letters")) + self.weight(f"tokens={n}")
         shapes = [self.w[k][1:] for f, k in self.index.items() if f.startswith("shape=") and not re.search("[9@]", f)]
         shape = np.max([np.zeros(self.kinds - 1), *shapes], axis=0)
-        none = one(1)[0] + min(0, self.weight("shape=a")[0])
+        plain = self.weight("bias") + self.weight("digits=0") + self.weight("tokens=1")
+        none = plain[0] + min(self.weight("letters")[0], self.weight("no letters")[0]) + min(0, *(self.weight(f"shape={x}")[0] for x in ("a", *_STOPS)))
         return near, max(float((one(n)[1:] + shape + near).max()) - n * none - (n - 1) * self.move[0, 0] for n in range(1, MAX_TOKENS + 1))
 
-    def fit(self, examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 12, rate: float = 0.5) -> "Field":
+    def fit(self, examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 8, rate: float = 0.5) -> "Field":
         data = []
         for text, spans in examples:
             toks = tokens_of(text, 0, len(text))
@@ -277,24 +313,36 @@ class Field:
         return out[::-1]
 
 
-def labelled_sentences(n: int = 160, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Generated sentences with labelled spans: every kind in several forms, and numbers that are none of them."""
+def labelled_sentences(n: int = 480, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Generated sentences with labelled spans: every kind in several forms, and numbers and words that are none of them."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["an", "er", "in", "on", "th", "re", "st", "nd", "ou", "el", "la", "de"]) for _ in range(r.randint(1, 3)))
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    hexed = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    of = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    hexed = lambda k: of("0123456789abcdef", k)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
     def card(right: bool) -> str:
         body = str(r.randint(2, 6)) + d(14)
         check = next(c for c in "0123456789" if luhn(body + c) == right)
         return body + check
 
+    def key() -> str:
+        return r.choice([
+            lambda: hexed(r.choice([32, 40, 64])), lambda: "sk_live_" + hexed(24), lambda: "AK" + of(upper + "0123456789", r.randint(14, 18)), lambda: "ghp_" + of(upper + lower + "0123456789", 36),
+            lambda: of(upper + lower + "0123456789", r.randint(20, 44)), lambda: of(upper + lower + "0123456789+/", r.randint(60, 420)) + "==",
+        ])()
+
+    def password() -> str:
+        return r.choice([word() + d(r.randint(1, 4)), word() + d(1) + word(), word().capitalize() + d(3) + r.choice("_-") + word(), of(lower + upper + "0123456789", r.randint(8, 14)) + d(1)])
+
     def one() -> tuple[str, str, str]:
-        kind = r.choice(["email", "ip", "card", "phone", "secret", "", "", ""])
-        name = word() + r.choice([".", "", d(2)]) + word()
+        kind = r.choice(["email", "ip", "card", "phone", "secret", "secret", "", "", "", ""])
+        name = word() + r.choice([".", "", "", d(2)]) + word()
         if kind == "email":
-            site = word() + word()
-            return r.choice(["", "mail ", "contact "]), r.choice([f"{name}@{site}.com", f"{name} at {site} dot com", f"{name}[at]{site}.org", f"{name} (at) {site} (dot) net"]), kind
+            site = word() + r.choice([word(), ""])
+            end = r.choice(["com", "org", "net", "de", "io"])
+            return r.choice(["", "mail ", "contact ", "write to ", "reach me under "]), r.choice([f"{name}@{site}.{end}", f"{name} at {site} dot {end}", f"{word()} at {site} dot {end}", f"{name}[at]{site}.{end}", f"{name} (at) {site} (dot) {end}"]), kind
         if kind == "ip":
             x = ".".join(str(r.randint(1, 255)) for _ in range(4))
             return r.choice(["", "host ", "server "]), x, kind
@@ -303,10 +351,15 @@ def labelled_sentences(n: int = 160, seed: int = 11) -> list[tuple[str, list[tup
             return r.choice(["", "card ", "visa "]), r.choice([x, " ".join(x[k : k + 4] for k in (0, 4, 8, 12)), ".".join(x[k : k + 4] for k in (0, 4, 8, 12))]), kind
         if kind == "phone":
             a, b, c = d(3), d(3), d(4)
-            return r.choice(["", "call ", "phone ", "tel "]), r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+44 {d(4)} {d(6)}"]), kind
+            form = r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+44 {d(4)} {d(6)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(4)} {d(6)}", f"0{d(3)}/{d(7)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}"])
+            return r.choice(["call ", "phone ", "tel ", "ring ", "fax "]) if form[0] == "0" else r.choice(["", "call ", "phone ", "tel "]), form, kind
         if kind == "secret":
-            return r.choice(['token = "', "api key: ", 'secret = "', "password: "]), r.choice([hexed(32), hexed(40), hexed(64), "sk_live_" + hexed(24)]), kind
-        return r.choice(["", "in ", "id ", "version "]), r.choice([d(4), d(6), d(2) + "." + d(2), d(3) + "," + d(3), card(False), d(16), f"{d(2)}/{d(2)}/{d(4)}", "$" + d(5), d(2) + "." + d(1) + "." + d(3), word() + d(3), f"{word()} at {word()}"]), ""
+            cue, sign = r.choice(["token", "api key", "secret", "auth token", "access key", "key"]), r.choice([' = "', ": ", "=", ' "'])
+            return (cue + sign, key(), kind) if r.random() < 0.65 else (r.choice(["password: ", "password=", "passwd: ", "pwd = ", 'password = "']), password(), kind)
+        return r.choice(["", "in ", "id ", "version ", "room "]), r.choice([
+            d(4), d(6), d(2) + "." + d(2), d(3) + "," + d(3), card(False), d(16), f"{d(2)}/{d(2)}/{d(4)}", "$" + d(5), d(2) + "." + d(1) + "." + d(3), word() + d(3), f"{word()} at {word()}", f"{d(2)} {d(3)} {d(3)}", f"{d(4)}-{d(4)}", f"v{d(1)}.{d(1)}",
+            f"{word()} at {word()}. {word()}", f"the password {word()} {word()}", f"key: {word()}", f"token of {word()}", f"{word()} dot {word()}", f"{word()} at the {word()} dot", upper[r.randrange(26)] + d(2), f"number {d(3)}", f"call {d(2)} {word()}", f"address {d(3)} {word()}", f"{word().upper()}-{word()[:2].upper()}", f"{word()}.{word()[:3]}",
+        ]), ""
 
     out = []
     for _ in range(n):
@@ -337,18 +390,23 @@ def windows(text: str, field: Field) -> list[list[tuple[int, int]]]:
     for no entity, so the odds of the segment are at most those of the two on these tokens
     alone, times the most that the kinds before and after can add.
     """
-    toks = tokens_of(text, 0, len(text))
     least = float(np.log(MIN_POSTERIOR / (1 - MIN_POSTERIOR))) - 1e-6
     if not hasattr(field, "held_bounds"):
         field.held_bounds = field.bounds()
     near, plain = field.held_bounds
+    for cache in (_PLAIN, _STRETCH):
+        if len(cache) > CACHE_TOKENS:
+            cache.clear()
+    spelled = {m.start() for m in _SPELLED.finditer(text)}
+    if plain < least and not spelled and not any(map(_STRETCH.__getitem__, set(text.split()))):
+        return []
+    toks = tokens_of(text, 0, len(text))
     asked: set[tuple[int, int]] = set()
     for k, (s, e) in enumerate(toks):
         word = text[s:e]
-        low = word.lower()
-        cue = low in _CUE_WORDS
-        if plain < least and not cue and low.isalpha() and e - s < 20 and not (low == "at" and _SPELLED.match(text, s)):
+        if plain < least and _PLAIN[word] and s not in spelled:
             continue
+        cue = word.lower() in _CUE_WORDS
         # Segments that hold the token, and those that have a feature by it: signs count right behind, cues up to four on.
         last = k + 4 if cue else k + 1 if word in "=:\"'" else k
         for i in range(max(0, k - MAX_TOKENS + 1), min(last, len(toks) - 1) + 1):
