@@ -305,6 +305,43 @@ def test_leaks_frame(spark):
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).filter(F.size("hits") > 0).count() == 0
 
 
+def test_recall_on_halves_and_reworded_items():
+    """At least 0.9 of half items and of items with a tenth of their words replaced; texts without items stay clean."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice(["an", "er", "in", "on", "th", "re", "st", "ou", "el", "la", "de", "ka"]) for _ in range(r.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(r.randint(20, 50))) for i in range(200)]
+    index = decontaminate.Index(items, decontaminate.Q, decontaminate.WINDOW, decontaminate.STRIDE, decontaminate.RATE, decontaminate.MIN_ITEM)
+    half = tenth = 0
+    for i, t in items:
+        w = t.split()
+        part = r.choice([w[: len(w) // 2], w[len(w) // 2 :]])
+        half += any(h[0] == i for h in decontaminate.search(f"{text(30)} {' '.join(part)} {text(30)}", index))
+        for k in r.sample(range(len(w)), max(1, len(w) // 10)):
+            w[k] = word()
+        tenth += any(h[0] == i for h in decontaminate.search(f"{text(30)} {' '.join(w)} {text(30)}", index))
+    assert half >= 180 and tenth >= 180, (half, tenth)
+    assert not any(decontaminate.search(text(400), index) for _ in range(100))
+
+
+def test_short_items_as_whole_words():
+    index = decontaminate.Index([(1, "the art of war"), (2, "too short"), (3, "Name: the capital!")], 10, 60, 20, 0.07, 24)
+    found = lambda t: [(i, t[s:e]) for i, s, e, _ in decontaminate.search(t, index)]
+    assert found("on The Art, of war. and") == [(1, "The Art, of war")]
+    assert found("the art of warfare") == found("seethe art of war") == found("the art of a war") == found("too short") == []
+    assert found("name the capital") == [(3, "name the capital")]
+
+
+def test_leaks_in_several_blocks(spark):
+    texts = ["the first item of the benchmark is about letters and ships", "another item that speaks of rivers and long roads to the sea", "a third one with nothing but names of towns on a coast"]
+    items = spark.createDataFrame([*enumerate(texts), (None, texts[1])], "item_id long, text string")
+    rows = [(1, f"x {texts[0]} y {texts[2]}"), (1, f"x {texts[0]} y {texts[2]}"), (2, "nothing"), (3, None), (None, texts[1])]
+    key = lambda f: sorted((str(r.doc_id), r.kept, [tuple(h) for h in r.hits]) for r in f.collect())
+    whole = key(decontaminate.find_leaks(docs(spark, rows), items, keep=("kept",)))
+    assert whole == key(decontaminate.find_leaks(docs(spark, rows), items, keep=("kept",), block_chars=60))
+    assert sum(bool(h) for _, _, h in whole) == 3
+
+
 def test_align_counts_edits():
     r = random.Random(9)
     for _ in range(200):
