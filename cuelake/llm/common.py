@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +14,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where it is unset, a local folder, but only on a local master."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         held = getattr(shared_dir, "own", None)
         if held is None:
             held = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="cuelake-")
@@ -30,17 +31,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends there and outlives executors."""
+def staged(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: lineage ends there and outlives executors.
+
+    Shuffle files of the finished job go once the driver has collected its garbage; free asks for
+    that right away, for stages that shuffle in proportion to the input.
+    """
     spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files of the finished job go once the driver has collected its garbage, which frees
-    # what the plan holds first and the shuffles after that; nothing reads them again.
-    del df
-    gc.collect()
-    for _ in range(2):
+    if free:
+        del df
+        gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.15)
     return spark.read.schema(schema).parquet(path)
 
 

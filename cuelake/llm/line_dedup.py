@@ -1,17 +1,26 @@
 """Line deduplication by a segment-partition edit join, native DataFrame operations only.
 
 A line is lower-cased, its runs of ASCII white space become one space, and it is trimmed.
-Lines of at least `min_chars` code points are compared; shorter ones always stay. Every
-line is dropped that repeats an earlier line, or whose first occurrence lies within
-`threshold` edits of another line that occurs first at an earlier place. Places are ordered
-by document id (null last), then by a hash of the document's text, then by line number, so
-rows that repeat both id and text are one document and share one decision.
+Every line is dropped that repeats an earlier line, however short it is; empty lines always
+stay. Of lines of at least `min_chars` code points those are dropped, too, whose first
+occurrence lies within `threshold` edits of another such line that occurs first at an
+earlier place. Places are ordered by document id (null last), then by a hash of the
+document's text, then by line number, so rows that repeat both id and text are one document
+and share one decision. Equal lines are told by 128 bits of hash.
 
 Edits are found exactly: an indexed line is split into threshold + 1 segments, and of two
 lines within the threshold, the longer holds one of the shorter's segments at nearly the
 same place. Segments and the substrings that may equal them meet by hash of (length,
 segment number, content); pairs are then filtered by letter counts and verified by a banded
-bit-parallel edit distance. No pair that is within the threshold is missed.
+bit-parallel edit distance. No pair that decides a line is missed.
+
+A line is decided by any one earlier neighbour, so not all pairs of a large group are
+needed. Keys that index more than CROWD lines are crowded: the earliest line of each is
+verified against the others (a star), whose near ones are decided and from then on only
+serve as neighbours of others; the earliest of the rest is next, for ROUNDS rounds. What is
+left of the lines without the segment that they share is cut into segments again, since it
+differs by as few edits, so that the key is parted into finer ones, down to DEPTH levels.
+Only lines that are still open meet the earlier lines of their keys.
 
 Defined results: null text counts as one empty line and comes back as an empty text; a
 document may lose all its lines and then has an empty text; an empty table gives an empty
@@ -20,87 +29,100 @@ result. Other columns of the input are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, staged, table, text_of
+from .common import count_within, maybe_broadcast, staged, table, text_of
 
 THRESHOLD, MIN_CHARS = 2, 24
 
-#: Letters whose counts bound the edit distance from below, one byte each in two longs.
-COUNTED = ("etaniors", "hdlc")
+#: Letters whose counts bound the edit distance from below, one byte each in a long.
+COUNTED = "etaniors"
 
+#: Lines of crowded keys are also told apart by the counts of these.
+ALL_COUNTED = "abcdefghijklmnopqrstuvwxyz .,"
 
-def normalised(line: Column) -> Column:
-    rare = F.contains(line, F.lit("  "))
-    for c in "\t\x0b\f\r":
-        rare = rare | F.contains(line, F.lit(c))
-    return F.lower(F.trim(F.when(rare, F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")).otherwise(line)))
+#: Lines that a key may index before it counts as crowded, and rounds of stars over crowded keys.
+CROWD, ROUNDS = 32, 2
+#: Levels of segments within segments by which crowded keys are parted.
+DEPTH = 3
 
+#: Rows of a line from which it is looked up by broadcast (behind a count) instead of by shuffle.
+COMMON = 1000
 
-def letter_counts(line: Column) -> Column:
-    """Struct of two longs: counts of letters modulo 256. Each letter is taken out of what the ones before have left."""
-    letters = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(8 * k).alias("at"), F.lit(i).alias("word")) for i, word in enumerate(COUNTED) for k, c in enumerate(word)])
-    state = lambda rest, c0, c1: F.struct(rest.alias("rest"), c0.alias("c0"), c1.alias("c1"))
 
-    def step(acc: Column, x: Column) -> Column:
-        def counted(rest: Column) -> Column:
-            n = F.call_function("shiftleft", (F.octet_length(acc["rest"]) - F.octet_length(rest)).cast("long").bitwiseAND(F.lit(255)), x["at"])
-            return state(rest, F.when(x["word"] == 0, acc["c0"].bitwiseOR(n)).otherwise(acc["c0"]), F.when(x["word"] == 1, acc["c1"].bitwiseOR(n)).otherwise(acc["c1"]))
+def normalised(text: Column) -> Column:
+    """Lower case, runs of white space as one space; line ends stay. Lines still need a trim."""
+    rare = F.contains(text, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        rare = rare | F.contains(text, F.lit(c))
+    return F.lower(F.when(rare, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text))
 
-        return let(F.replace(acc["rest"], x["c"], F.lit("")), counted)
 
-    zero = F.lit(0).cast("long")
-    return F.aggregate(letters, state(line, zero, zero), step, lambda acc: F.struct(acc["c0"].alias("c0"), acc["c1"].alias("c1")))
+def letter_counts(line: Column) -> Column:
+    """A long of the counts of letters modulo 256."""
+    total = F.lit(0).cast("long")
+    for k, c in enumerate(COUNTED):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        total = total.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(255)), 8 * k))
+    return total
 
 
 def counts_within(a: Column, b: Column, threshold: int) -> Column:
     """An edit changes the counts by 2 in sum at most, so larger differences rule a pair out."""
     total = F.lit(0).cast("long")
-    for i, letters in enumerate(COUNTED):
-        for k in range(len(letters)):
-            byte = lambda x, i=i, k=k: F.shiftright(x[f"c{i}"], 8 * k).bitwiseAND(F.lit(255))
-            d = (byte(a) - byte(b)).bitwiseAND(F.lit(255))
-            total = total + F.least(d, F.lit(256) - d)
+    for k in range(len(COUNTED)):
+        byte = lambda x, k=k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
+        d = (byte(a) - byte(b)).bitwiseAND(F.lit(255))
+        total = total + F.least(d, F.lit(256) - d)
     return total <= 2 * threshold
 
 
-def segment(n: Column, parts: int, i: Column) -> tuple[Column, Column]:
+def all_counts(line: Column) -> Column:
+    return F.transform(F.array(*map(F.lit, ALL_COUNTED)), lambda c: F.octet_length(line) - F.octet_length(F.replace(line, c, F.lit(""))))
+
+
+def all_counts_within(a: Column, b: Column, threshold: int) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda total, d: total + d) <= 2 * threshold
+
+
+def segment(n: Column, parts: int, i: int) -> tuple[Column, Column]:
     """(start from 1, length) of segment i of a line of n characters; the last n mod parts are longer by one."""
     base, long_from = F.floor(n / parts).cast("int"), parts - n % parts
     return F.lit(1) + i * base + F.greatest(F.lit(0), i - long_from), base + F.when(i >= long_from, 1).otherwise(0)
 
 
-def _key(number: Column, n: Column, content: Column) -> Column:
-    return F.xxhash64(number, n, content)
+Place = tuple[int, Column, Column]
+
 
+def top() -> Column:
+    """The key that holds all lines."""
+    return F.lit(0).cast("long")
 
-def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    def key(i: Column) -> Column:
-        at, size = segment(n, threshold + 1, i)
-        return _key(i, n, F.substring(line, at, size))
 
-    return F.transform(F.array(*map(F.lit, range(threshold + 1))), key)
+def index_places(m: Column, threshold: int) -> list[Place]:
+    """(segment, start, length) of the segments of a line of m characters."""
+    return [(i, *segment(m, threshold + 1, i)) for i in range(threshold + 1)]
 
 
-def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line shorter by 0 to threshold characters.
+def probe_places(m: Column, threshold: int, shorter: int, own: bool = False) -> list[Place]:
+    """(segment, start, length) in a longer line of what can equal a segment of a line of m characters, `shorter` fewer.
 
-    A line's own segments are left out: equally long lines that share one meet by their index keys.
+    A line's own segments are only in it if own is set: equally long lines that share one meet by their
+    index keys. No place lies outside the line as long as a segment has a character.
     """
-    places = []
-    for shorter in range(threshold + 1):
-        for i in range(threshold + 1):
-            low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
-            places += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in range(low, high + 1) if shorter or shift]
+    out = []
+    for i, at, size in index_places(m, threshold):
+        low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
+        out += [(i, at + shift, size) for shift in range(low, high + 1) if own or shorter or shift]
+    return out
 
-    def key(p: Column) -> Column:
-        m = n - p["shorter"]
-        at, size = segment(m, threshold + 1, p["i"])
-        start = at + p["shift"]
-        return F.when((start >= 1) & (start + size - 1 <= n), _key(p["i"], m, F.substring(line, start, size)))
 
-    return F.array_compact(F.transform(F.array(*places), key))
+def place_key(line: Column, m: Column, at: Place, within: Column) -> Column:
+    """Hash of the segment number, the length m and the content at a place, within a coarser key."""
+    return F.xxhash64(within, m.cast("long") * 16 + at[0], F.substring(line, at[1], at[2]))
 
 
 def let(value: Column, body) -> Column:
@@ -129,7 +151,7 @@ def bounded_distance(s: Column, t: Column, threshold: int) -> Column:
             return F.greatest(F.length(s), F.length(t)) <= 1
         same = n < threshold - 1
         for i in range(threshold - 1):
-            at, size = segment(n, threshold - 1, F.lit(i))
+            at, size = segment(n, threshold - 1, i)
             for shift in range(-threshold, threshold + 1):
                 same = same | ((at + 1 + shift >= 1) & (F.substring(t, at + 1 + shift, size) == F.substring(s, at + 1, size)))
         return same
@@ -181,75 +203,196 @@ def banded_distance(s: Column, t: Column, threshold: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(t)), start, step, lambda acc: acc["d"])
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, doc_hash, line_no and normalised line of every line that is compared."""
+def line_hash(line: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of different seeds that stand for a line."""
+    return F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")
+
+
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, doc_hash, line_no, normalised line and its hashes of every line that is not empty."""
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.select("id", "doc_hash", "line_no", normalised(F.col("line")).alias("line")).filter(F.length("line") >= min_chars)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc_hash"), normalised(text).alias("text"))
+    rows = rows.select("id", "doc_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.select("id", "doc_hash", "line_no", F.trim("line").alias("line")).filter("line <> ''")
+    return rows.select("*", *line_hash(F.col("line")))
 
 
 def place() -> Column:
     return F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_hash", "line_no")
 
 
-def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b, la, lb, distance) of all different lines within threshold edits of each other.
+class EditJoin:
+    """The lines that have an earlier one within threshold edits.
 
-    lines: x (hash of line), line and its letter counts, distinct, of more than 2 * threshold characters.
+    lines: x (a number of its own), line, n (its length), counts and first (its place), distinct,
+    of more than 2 * threshold characters.
     """
-    n = F.length("line")
-    slim = lines.select("x", F.col("line"), n.alias("n"), "counts")
-    # Only the names differ between the two uses of the index, so its exchange is made once.
-    indexed = lambda k: slim.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("x").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
-    probe = slim.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("x").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    # Of equally long lines each pair is met once; the filter is part of the join, so buckets emit only what passes it.
-    met = (F.col("nb") - F.col("na")).between(0, threshold) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))) & counts_within(F.col("ca"), F.col("cb"), threshold)
-
-    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x.join(y.hint("merge"), (x["key"] == y["key"]) & met).select("a", "b")
 
-    pairs = staged(joined(indexed("a"), indexed("b")).unionByName(joined(indexed("a"), probe)).distinct(), "line-pairs")
-    wanted = maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct())
-    texts = staged(lines.select("x", "line").join(wanted, "x", "left_semi"), "line-texts")
-    both = pairs.join(texts.select(F.col("x").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("x").alias("b"), F.col("line").alias("lb")), "b")
-    return both.withColumn("distance", bounded_distance(F.col("la"), F.col("lb"), threshold)).filter(F.col("distance") <= threshold)
+    def __init__(self, lines: DataFrame, threshold: int, crowd: int = CROWD, depth: int = DEPTH):
+        self.lines, self.threshold, self.crowd, self.depth = lines, threshold, crowd, depth
+
+    def index(self) -> DataFrame:
+        line, n = F.col("line"), F.col("n")
+        return self.lines.select(F.explode(F.array(*[place_key(line, n, p, top()) for p in index_places(n, self.threshold)])).alias("key"), "x", "n", "counts")
+
+    def probe(self) -> DataFrame:
+        """One projection for each difference of lengths: a method with all keys is too long to be compiled."""
+        line, n = F.col("line"), F.col("n")
+        keys = lambda k: F.array(*[place_key(line, n - k, p, top()) for p in probe_places(n - k, self.threshold, k)])
+        return reduce(DataFrame.union, [self.lines.select(F.explode(keys(k)).alias("key"), "x", "n", "counts") for k in range(self.threshold + 1)])
+
+    def met(self, x: DataFrame, y: DataFrame, rule: Column) -> DataFrame:
+        """(a, b) of the rows of x and y that share a key and can be near; the rule is part of the join, so buckets emit only what passes it."""
+        x, y = (rows.select("key", *[F.col(k).alias(f"{k}{side}") for k in rows.columns if k in ("x", "n", "counts", "first", "more")]) for rows, side in ((x, "a"), (y, "b")))
+        near = (F.col("nb") - F.col("na")).between(-self.threshold, self.threshold) & counts_within(F.col("countsa"), F.col("countsb"), self.threshold)
+        if "morea" in x.columns:
+            near = near & all_counts_within(F.col("morea"), F.col("moreb"), self.threshold)
+        return x.join(y.hint("merge"), (x["key"] == y["key"]) & rule & near).select(F.col("xa").alias("a"), F.col("xb").alias("b"))
+
+    def later(self, pairs: DataFrame) -> DataFrame:
+        """x: of each pair (a, b) within the threshold the line that occurs first at the later place."""
+        wanted = maybe_broadcast(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct())
+        texts = staged(self.lines.select("x", "line", "first").join(wanted, "x", "left_semi"), "line-texts")
+        side = lambda k: texts.select(F.col("x").alias(k), F.col("line").alias(f"l{k}"), F.col("first").alias(f"f{k}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(bounded_distance(F.col("la"), F.col("lb"), self.threshold) <= self.threshold)
+        return staged(both.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct(), "near-lines")
+
+    def crowded(self, index: DataFrame) -> DataFrame:
+        """key and m, the length that it stands for."""
+        return staged(index.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("m")).filter(F.col("lines") > self.crowd).select("key", "m"), "crowded-keys")
+
+    def near_lines(self) -> DataFrame:
+        """x of every line that has an earlier neighbour."""
+        index, probe = self.index(), self.probe()
+        crowded, decided = self.crowded(index), None
+        if not crowded.isEmpty():
+            keys = maybe_broadcast(crowded.select("key"))
+            index, probe = (rows.join(keys, "key", "left_anti") for rows in (index, probe))
+            decided, more = self.crowded_pairs(keys, maybe_broadcast(crowded.select("m").distinct()))
+        # Only the names differ between the two uses of the index, so its exchange is made once. Of equally long lines each pair is met once.
+        pairs = self.met(index, index, F.col("xa") < F.col("xb")).union(self.met(index, probe, F.lit(True)))
+        pairs = staged((pairs if decided is None else pairs.union(more)).distinct(), "line-pairs")
+        found = self.later(pairs)
+        return found if decided is None else found.union(decided).distinct()
+
+    # --- crowded keys: rows (key, x, line, n, gap, counts, more, first) of what is left of a line without the segments met so far,
+    # --- gap characters longer than the indexed line that it looks for.
+
+    def finer(self, rows: DataFrame, places, keys: DataFrame | None = None) -> DataFrame:
+        """Rows by the places in them: the key within the key before (only those in keys, if given), and the line without that place."""
+        line, m = F.col("line"), F.col("n") - F.col("gap")
+        parts = [F.struct(place_key(line, m, p, F.col("key")).alias("key"), p[1].alias("at"), p[2].alias("size")) for p in places(m)]
+        out = rows.withColumn("p", F.explode(F.array(*parts))).withColumn("key", F.col("p.key"))
+        out = out if keys is None else out.join(keys, "key", "left_semi")
+        rest = F.concat(F.substring("line", F.lit(1), F.col("p.at") - 1), F.substring("line", F.col("p.at") + F.col("p.size"), F.col("n")))
+        more = "more" if "more" in rows.columns else all_counts(line).alias("more")
+        return out.select("key", "x", rest.alias("line"), (F.col("n") - F.col("p.size")).alias("n"), "gap", "counts", more, "first")
+
+    def finer_index(self, rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+        return self.finer(rows, lambda m: index_places(m, self.threshold), keys)
+
+    def finer_probe(self, rows: DataFrame, own: bool, gaps: range, keys: DataFrame | None = None) -> DataFrame:
+        return reduce(DataFrame.union, [self.finer(rows.filter(F.col("gap") == k), lambda m, k=k: probe_places(m, self.threshold, k, own), keys) for k in gaps])
+
+    def crowded_pairs(self, keys: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(x of lines that stars have decided, pairs (a, b) of an earlier line and an open one that share crowded keys all the way down)."""
+        gaps, decided, pairs = range(self.threshold + 1), None, []
+        base = self.lines.select(top().alias("key"), "x", "line", "n", F.lit(0).alias("gap"), "counts", "first")
+        fit = lambda k: base.join(lengths, F.col("n") - k == F.col("m"), "left_semi").withColumn("gap", F.lit(k))
+        index, probe = self.finer_index(fit(0), keys), self.finer_probe(reduce(DataFrame.union, map(fit, gaps)), False, gaps, keys)
+        index, probe = (staged(rows, "crowded-lines") for rows in (index, probe))
+        for level in range(self.depth):
+            decided = self.stars(index, decided)
+            if level + 1 == self.depth:
+                pairs.append(self.open_pairs(index, probe, decided))
+                break
+            short = F.col("n") - F.col("gap") <= self.threshold  # too short for finer segments
+            short_index, short_probe = index.filter(short), probe.filter(short)
+            if not short_index.isEmpty():
+                pairs.append(self.open_pairs(short_index, short_probe, decided))
+            index, probe = index.filter(~short), probe.filter(~short)
+            index, probe = self.finer_index(index), self.finer_probe(index, False, range(1)).union(self.finer_probe(probe, True, gaps))
+            index, probe = (staged(rows, "finer-lines") for rows in (index, probe))
+            crowded = self.crowded(index)
+            keys = maybe_broadcast(crowded.select("key"))
+            pairs.append(self.open_pairs(*(rows.join(keys, "key", "left_anti") for rows in (index, probe)), decided))
+            if crowded.isEmpty():
+                break
+            index, probe = (staged(rows.join(keys, "key", "left_semi"), "crowded-lines") for rows in (index, probe))
+        return decided, reduce(DataFrame.union, pairs)
+
+    def stars(self, index: DataFrame, decided: DataFrame | None) -> DataFrame:
+        """x of decided lines, with those that are near the earliest open line of a key, for some rounds."""
+        for _ in range(ROUNDS):
+            left = index if decided is None else index.join(maybe_broadcast(decided), "x", "left_anti")
+            pivots = maybe_broadcast(staged(left.groupBy("key").agg(F.min(F.struct("first", "x")).alias("p"), F.min_by("counts", F.struct("first", "x")).alias("counts0"), F.min_by("more", F.struct("first", "x")).alias("more0")).select("key", F.col("p.x").alias("pivot"), "counts0", "more0"), "pivots"))
+            near = counts_within(F.col("counts"), F.col("counts0"), self.threshold) & all_counts_within(F.col("more"), F.col("more0"), self.threshold)
+            star = left.join(pivots, "key").filter(F.col("x") != F.col("pivot")).filter(near)
+            near = self.later(staged(star.select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct(), "star-pairs"))
+            if near.isEmpty():
+                return near if decided is None else decided
+            decided = near if decided is None else staged(decided.union(near).distinct(), "decided-lines")
+        return decided
+
+    def open_pairs(self, index: DataFrame, probe: DataFrame, decided: DataFrame) -> DataFrame:
+        """(a, b) of an earlier line a and a line b that is not decided."""
+        some, earlier = maybe_broadcast(decided), F.col("firsta") < F.col("firstb")
+        open_index, open_probe = (rows.join(some, "x", "left_anti") for rows in (index, probe))
+        pairs = self.met(index, open_index.union(open_probe), earlier).union(self.met(probe, open_index, earlier))
+        return staged(pairs.distinct(), "open-pairs", free=True)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: id_col, the columns in keep, n_lines, n_repeated, n_near and text without the dropped lines."""
     if min_chars <= 2 * threshold:
         raise ValueError("min_chars must exceed twice the threshold")
-    seen = occurrences(docs, id_col, text_col, min_chars)
+    seen, line = occurrences(docs, id_col, text_col), F.col("line")
+    merged = seen.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times"), F.first("line").alias("line"))
     lines = staged(
-        seen.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).select(F.xxhash64("line").alias("x"), F.unhex(F.md5("line")).alias("h"), "line", letter_counts(F.col("line")).alias("counts"), "first", "n"),
+        merged.select(F.monotonically_increasing_id().alias("x"), "h1", "h2", "first", "times", "line", F.length(line).alias("n"), letter_counts(line).alias("counts")),
         "lines",
+        free=True,
     )
-    pairs = staged(near_pairs(lines, threshold).select("la", "lb"), "near-lines")
-    firsts = maybe_broadcast(pairs.select(F.explode(F.array("la", "lb")).alias("line")).select(F.unhex(F.md5("line")).alias("h")).distinct())
-    firsts = staged(lines.select("h", "first").join(firsts, "h", "left_semi"), "near-firsts")
-    at = lambda name: firsts.select(F.col("h").alias(f"h{name}"), F.col("first").alias(f"first_{name}"))
-    both = pairs.select(F.unhex(F.md5("la")).alias("ha"), F.unhex(F.md5("lb")).alias("hb")).join(at("a"), "ha").join(at("b"), "hb")
-    later = both.select(F.when(F.col("first_a") > F.col("first_b"), F.col("ha")).otherwise(F.col("hb")).alias("h")).distinct().withColumn("near", F.lit(True))
-    judged = lines.select("h", "first", "n").join(later, "h", "left").filter("n > 1 OR near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    hit = seen.withColumn("h", F.unhex(F.md5("line"))).select("id", "doc_hash", "line_no", "h").join(judged, "h")
-    hit = hit.filter((place() > F.col("first")) | F.col("near")).withColumn("repeated", place() > F.col("first"))
-    drops = hit.groupBy("id", "doc_hash").agg(F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("repeated"), F.col("line_no"))).alias("again"))
+    near = EditJoin(lines.filter(F.col("n") >= min_chars), threshold).near_lines().withColumn("near", F.lit(True))
+    judged = lines.select("x", "h1", "h2", "first", "times").join(maybe_broadcast(near), "x", "left").filter("times > 1 OR near")
+    judged = staged(judged.select("h1", "h2", "first", "times", F.coalesce("near", F.lit(False)).alias("near")), "judged-lines", free=True)
+    drops = _dropped(seen.select("id", "doc_hash", "line_no", "h1", "h2"), judged).groupBy("id", "doc_hash").agg(F.collect_set(F.struct("line_no", "repeated")).alias("gone"))
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"), F.struct(F.lit(0).alias("none"), *keep).alias("kept"))
     joined = rows.alias("r").join(drops.alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.doc_hash") == F.col("d.doc_hash")), "left")
+    gone, again = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce(F.size(F.filter("gone", lambda g: g["repeated"])), F.lit(0))
+    ends = F.length("r.text") - F.length(F.replace("r.text", F.lit("\n"), F.lit("")))
     parts = F.split("r.text", "\n")
-    gone, again = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce(F.size("again"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    stay = F.array_except(F.sequence(F.lit(0), ends), F.col("gone.line_no"))
     return joined.select(
         F.col("r.id").alias(id_col),
         *[F.col("r.kept")[c].alias(c) for c in keep],
-        F.size(parts).cast("long").alias("n_lines"),
+        (ends + 1).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(again).cast("long").alias("n_repeated"),
         F.when(F.col("gone").isNull(), 0).otherwise(gone - again).cast("long").alias("n_near"),
-        F.when(F.col("gone").isNull(), F.col("r.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")).alias(text_col),
+        F.when(F.col("gone").isNull(), F.col("r.text")).otherwise(let(parts, lambda p: F.array_join(F.transform(stay, lambda i: F.get(p, i)), "\n"))).alias(text_col),
     )
 
 
+def _dropped(seen: DataFrame, judged: DataFrame) -> DataFrame:
+    """id, doc_hash, line_no and repeated of the occurrences that go.
+
+    Lines of very many rows are few: where a count allows, they are looked up in a broadcast,
+    and their rows are dealt out by place instead of by hash.
+    """
+    common = judged.filter(F.col("times") >= COMMON)
+    if count_within(common, 100_000):
+        common = F.broadcast(common.select("h1", "h2", F.col("first").alias("first0"), F.col("near").alias("near0")))
+        rest = judged.filter(F.col("times") < COMMON).select(F.col("h1").alias("dealt"), "h2", F.col("first").alias("first1"), F.col("near").alias("near1"))
+        dealt = F.when(F.col("near0").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_hash", "line_no"))
+        both = seen.join(common, ["h1", "h2"], "left").withColumn("dealt", dealt).join(rest, ["dealt", "h2"], "left")
+        hit = both.withColumns({"first": F.coalesce("first0", "first1"), "near": F.coalesce("near0", "near1")})
+    else:
+        hit = seen.join(judged, ["h1", "h2"])
+    repeated = place() > F.col("first")
+    return hit.filter(repeated | F.col("near")).select("id", "doc_hash", "line_no", repeated.alias("repeated"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents"))
 
@@ -266,8 +409,8 @@ WITH o AS (
 l AS (
   SELECT line, min(struct_pack(d := doc_id, n := line_no)) AS first, length(line) AS len,
          translate(line, 'éèêëçàâîïôùûœñíóúáüäöß', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26)||chr(27)) AS code
-  FROM o WHERE length(line) >= 24 GROUP BY line),
-c AS (SELECT *, [length(line) - length(replace(line, x, '')) FOR x IN ['e', 't', 'a', 'n', 'i', 'o', 'r', 's']] AS counts FROM l),
+  FROM o WHERE line <> '' GROUP BY line),
+c AS (SELECT *, [length(line) - length(replace(line, x, '')) FOR x IN ['e', 't', 'a', 'n', 'i', 'o', 'r', 's']] AS counts FROM l WHERE len >= 24),
 near AS (
   SELECT DISTINCT b.line FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS d) k JOIN c a ON true JOIN c b
   ON b.len = a.len + k.d AND a.line <> b.line AND a.first < b.first

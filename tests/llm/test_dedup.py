@@ -59,10 +59,11 @@ def brute_lines(rows, threshold, least):
     place, first = {}, {}
     for i, t in rows:
         for n, x in enumerate((t or "").split("\n")):
-            if len(norm(x)) >= least:
+            if norm(x):
                 place[i, n] = norm(x)
                 first.setdefault(norm(x), (i, n))
-    near = {b for b in first for a in first if a != b and abs(len(a) - len(b)) <= threshold and first[a] < first[b] and edits(a, b) <= threshold}
+    long = [x for x in first if len(x) >= least]
+    near = {b for b in long for a in long if a != b and abs(len(a) - len(b)) <= threshold and first[a] < first[b] and edits(a, b) <= threshold}
     gone = {p for p, x in place.items() if p > first[x] or x in near}
     return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n) not in gone) for i, t in rows}
 
@@ -80,11 +81,42 @@ def test_lines(spark):
                 x[k : k + r.randint(0, 1)] = r.choice(["", "a", "Q", "é"])
             lines.append("".join(x))
         rows.append((i, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, base[0] + "\n" + base[0]), (103, "short")]
+    rows += [(100, None), (101, ""), (102, base[0] + "\n" + base[0]), (103, "short"), (104, "Short\n\n \nsh\n\nsh")]
     got = {x.doc_id: x.text for x in line_dedup.line_dedup(docs(spark, rows), threshold=2, min_chars=8).collect()}
     assert got == brute_lines(rows, 2, 8)
 
 
+@pytest.mark.parametrize("crowd, depth", [(1000, 4), (3, 1), (1, 3)])
+def test_crowded_keys(spark, crowd, depth):
+    """Groups of near lines and of lines with common parts, by the plain join and by stars and finer segments."""
+    r = random.Random(4)
+    base = ["".join(r.choice("abcd ") for _ in range(r.randint(12, 40))).strip() for _ in range(6)]
+    lines = set(base)
+    while len(lines) < 120:
+        x = list(r.choice(sorted(lines)))
+        for _ in range(r.choice([1, 2, 3])):
+            k = r.randrange(len(x) + 1)
+            x[k : k + r.randint(0, 1)] = r.choice(["", "a", "q", "é"])
+        if len(x) >= 8:
+            lines.add("".join(x))
+    lines = sorted(lines)
+    r.shuffle(lines)
+    near = {b for i, b in enumerate(lines) if any(abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2 for a in lines[:i])}
+    rows = spark.createDataFrame([(i, t, len(t), (False, i)) for i, t in enumerate(lines)], "x long, line string, n int, first struct<no_id:boolean,id:int>")
+    rows = rows.withColumn("counts", line_dedup.letter_counts(F.col("line")))
+    assert {lines[x.x] for x in line_dedup.EditJoin(rows, 2, crowd, depth).near_lines().collect()} == near
+
+
+def test_large_group_of_near_lines(spark):
+    """2,000 lines near one another: the pairs that are verified grow with the lines, not with their square."""
+    text = "a line of boilerplate that stands in very many documents with a number {} at its end"
+    rows = [(i, text.format(str(1000 + i))) for i in range(2000)] + [(5000, text.format("")), (5001, "nothing like it in the rest of these lines")]
+    got = {x.doc_id: x.n_near for x in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    digits = [t[0] for t in rows[:2000]]
+    near = {i for i in digits if any(sum(a != b for a, b in zip(str(1000 + i), str(1000 + j))) <= 2 for j in range(0, i))}
+    assert {i for i, n in got.items() if n} == near
+
+
 def test_lines_cases(spark):
     long = "a line that is long enough to count " * 3000
     rows = [(None, long), (5, long + "\nother words of some length here"), (5, long + "\nother words of some length here"), (6, "Other  WORDS of some length here!")]
