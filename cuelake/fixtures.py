@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Milliseconds per place in a video, and the documents that lend their first characters as text.
-TEXTS = 200
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,14 +25,7 @@ def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, event_type: str, offset: str) -> DataFrame:
-    """Events of a type with the first 24 characters of a document; overlapping streams share documents."""
-    rows = timed(spark, sf_dir).filter(F.col("event_type") == event_type).withColumn("text_id", F.expr(f"(start_ms div 30000 + {offset}) % {TEXTS}"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 24).alias("text"))
-    return rows.join(docs, "text_id").select("video_id", "ord", "start", "end", "text")
-
-
-def whole_texts(spark: SparkSession, sf_dir: str, event_type: str, offset: str) -> DataFrame:
-    """Events of a type with the whole text of a document; four events after one another share one, and all ids are dealt in turn."""
+    """Events of a type with the whole text of a document; events after one another share one, and all ids are dealt in turn."""
     docs = table(spark, sf_dir, "documents")
     ids = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
     rows = timed(spark, sf_dir).filter(F.col("event_type") == event_type).withColumn("text_id", F.expr(f"(ord div 4 + {offset}) % {ids}"))
@@ -43,12 +33,12 @@ def whole_texts(spark: SparkSession, sf_dir: str, event_type: str, offset: str)
     return rows.join(lent, "text_id").select("video_id", "ord", "start", "end", "text")
 
 
-def primary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return (whole_texts if whole else texts)(spark, sf_dir, "click", "0")
+def primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir, "click", "0")
 
 
-def secondary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return (whole_texts if whole else texts)(spark, sf_dir, "signup", "1 + ord % 2")
+def secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir, "signup", "1 + ord % 2")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +48,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed(spark, sf_dir).select("video_id", "ord", (F.expr("ord % 1000 div 4") * 0.5).cast("double").alias("frame_time"), box.alias("box"), F.concat(F.lit("scene caption "), "event_type", (e % 3).cast("string")).alias("text"), F.lit(0.0).alias("angle"), ((50 + e % 50) / 100.0).alias("confidence"))
 
 
-def shown(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-screen events with box, frame_count and confidence."""
     e = F.col("ord")
     x1, y1 = e * 37 % 300, e * 53 % 120
     box = F.struct(x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), (x1 + 40 + e * 7 % 200).cast("int").alias("x2"), (y1 + 20 + e * 11 % 40).cast("int").alias("y2"))
-    return (whole_texts if whole else texts)(spark, sf_dir, "purchase", "1 + ord % 4").withColumns({"box": box, "frame_count": e % 9 + 1, "confidence": (50 + e % 50) / 100.0})
+    return texts(spark, sf_dir, "purchase", "1 + ord % 4").withColumns({"box": box, "frame_count": e % 9 + 1, "confidence": (50 + e % 50) / 100.0})
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,23 +67,23 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same in DuckDB.
-SQL = f"""
+SQL = """
 timed AS (
   SELECT event_id // 1000 AS video_id, event_id AS ord, event_type,
          (event_id % 1000) * 1200 + (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) % 900 AS start_ms,
          (event_id % 1000) * 1200 + (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) % 900 + 200 + CAST(floor(value * 40) AS BIGINT) AS end_ms,
          start_ms / 1000.0::DOUBLE AS start, end_ms / 1000.0::DOUBLE AS "end"
   FROM events),
-lent AS (SELECT doc_id AS text_id, substr(replace(text, chr(10), ' '), 1, 24) AS text FROM documents),
+lent AS (SELECT doc_id AS text_id, replace(text, chr(10), ' ') AS text, (SELECT max(doc_id) + 1 FROM documents) AS ids FROM documents),
 speech AS (SELECT video_id, ord, start, "end" FROM timed WHERE event_type = 'view'),
-prim AS (SELECT video_id, ord, start, "end", text FROM timed JOIN lent ON text_id = (start_ms // 30000) % {TEXTS} WHERE event_type = 'click'),
-sec AS (SELECT video_id, ord, start, "end", text FROM timed JOIN lent ON text_id = (start_ms // 30000 + 1 + ord % 2) % {TEXTS} WHERE event_type = 'signup'),
+prim AS (SELECT video_id, ord, start, "end", text FROM timed JOIN lent ON text_id = (ord // 4) % ids WHERE event_type = 'click'),
+sec AS (SELECT video_id, ord, start, "end", text FROM timed JOIN lent ON text_id = (ord // 4 + 1 + ord % 2) % ids WHERE event_type = 'signup'),
 boxed AS (
   SELECT *, ord * 37 % 300 AS x1, ord * 53 % 120 AS y1, ord * 37 % 300 + 40 + ord * 7 % 200 AS x2, ord * 53 % 120 + 20 + ord * 11 % 40 AS y2 FROM timed),
 det AS (SELECT video_id, ord, (ord % 1000 // 4) * 0.5::DOUBLE AS frame_time, x1, y1, x2, y2, 'scene caption ' || event_type || (ord % 3) AS text, (50 + ord % 50) / 100.0::DOUBLE AS confidence FROM boxed),
 shown AS (
   SELECT video_id, ord, start, "end", text, x1, y1, x2, y2, (50 + ord % 50) / 100.0::DOUBLE AS confidence
-  FROM boxed JOIN lent ON text_id = (start_ms // 30000 + 1 + ord % 4) % {TEXTS} WHERE event_type = 'purchase'),
+  FROM boxed JOIN lent ON text_id = (ord // 4 + 1 + ord % 4) % ids WHERE event_type = 'purchase'),
 labelled AS (SELECT video_id, start_ms * 1000000 + ord % 1000 AS ord, start, "end", event_type AS text FROM timed),
 chunk AS (SELECT DISTINCT video_id, video_id * 600.0::DOUBLE AS "offset", 600.0::DOUBLE AS duration FROM timed)
 """

@@ -102,13 +102,15 @@ def speech_batches(speech: DataFrame, most: float = 40.0, silence: float = 0.2,
 def batch_mapping(batched: DataFrame, silence: float = 0.2, rate: int = 16_000, keys: Sequence[str] = KEYS) -> DataFrame:
     """Where each segment, and the silence before it, lies in its batch's clip. Lengths are whole frames of audio.
 
+    A segment of a batch counts int((end - start) * rate) frames from its start; silence stands for the end of the segment before.
+
     keys, batch, entry, batch_start, batch_end, original_start, original_end, is_speech.
     """
     order = Window.partitionBy(*keys, "batch").orderBy("start", "ord")
-    frames = F.floor(F.col("end") * rate).cast("long") - F.floor(F.col("start") * rate).cast("long")
+    frames = F.floor((F.col("end") - F.col("start")) * rate).cast("long")
     quiet = int(silence * rate)
-    rows = batched.withColumn("frames", frames).withColumn("n", F.row_number().over(order)).withColumn("before", F.lag("end").over(order))
-    rows = rows.withColumn("at", F.sum("frames").over(order) - F.col("frames") + (F.col("n") - 1) * quiet).withColumn("was", F.lag(F.col("start") + F.col("frames") / rate).over(order))
+    rows = batched.withColumn("frames", frames).withColumn("n", F.row_number().over(order)).withColumn("was", F.lag("end").over(order))
+    rows = rows.withColumn("at", F.sum("frames").over(order) - F.col("frames") + (F.col("n") - 1) * quiet)
     speech = rows.select(*keys, "batch", (2 * F.col("n") - 2).alias("entry"), (F.col("at") / rate).alias("batch_start"), ((F.col("at") + F.col("frames")) / rate).alias("batch_end"), F.col("start").alias("original_start"), (F.col("start") + F.col("frames") / rate).alias("original_end"), F.lit(True).alias("is_speech"))
     silent = rows.filter("n > 1").select(*keys, "batch", (2 * F.col("n") - 3).alias("entry"), ((F.col("at") - quiet) / rate).alias("batch_start"), (F.col("at") / rate).alias("batch_end"), F.col("was").alias("original_start"), F.col("was").alias("original_end"), F.lit(False).alias("is_speech"))
     return speech.unionByName(silent)

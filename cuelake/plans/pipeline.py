@@ -35,7 +35,7 @@ def transcribe_speech(wavs: DataFrame, speech: DataFrame, make: Callable[[], Tra
         return _by_segment(wavs, merged, make, own.padding)
     grouped = S.speech_batches(merged, own.max_batch_duration, quiet, ("path",))
     mapping = S.batch_mapping(grouped, quiet, keys=("path",))
-    done = transcribe_clips(audio.wav_clips(wavs, audio.batch_parts(grouped, ("path",)), quiet).filter("content IS NOT NULL"), make)
+    done = transcribe_clips(audio.wav_clips(wavs, audio.batch_parts(grouped, ("path",)), quiet, batch=True).filter("content IS NOT NULL"), make)
     said = done.select("path", F.col("clip").alias("batch"), F.explode("segments").alias("s")).select("path", "batch", "s.*")
     lengths = mapping.groupBy("path", "batch").agg(F.max("batch_end").alias("duration"))
     judged = S.coverage(said, lengths, own.min_coverage, ("path", "batch"))

@@ -133,8 +133,8 @@ def speech_batches(spark, d):
 
 
 MAPPING = BATCHES + """,
-f1 AS (SELECT *, CAST(floor("end" * 16000) AS BIGINT) - CAST(floor(start * 16000) AS BIGINT) AS frames, row_number() OVER w AS k FROM fold WINDOW w AS (PARTITION BY video_id, batch ORDER BY start, ord)),
-f2 AS (SELECT *, sum(frames) OVER w - frames + (k - 1) * 3200 AS pos, lag(start + frames / 16000.0::DOUBLE) OVER w AS was FROM f1 WINDOW w AS (PARTITION BY video_id, batch ORDER BY start, ord)),
+f1 AS (SELECT *, CAST(floor(("end" - start) * 16000) AS BIGINT) AS frames, row_number() OVER w AS k FROM fold WINDOW w AS (PARTITION BY video_id, batch ORDER BY start, ord)),
+f2 AS (SELECT *, sum(frames) OVER w - frames + (k - 1) * 3200 AS pos, lag("end") OVER w AS was FROM f1 WINDOW w AS (PARTITION BY video_id, batch ORDER BY start, ord)),
 mapping AS (
   SELECT video_id, batch, 2 * k - 2 AS entry, pos / 16000.0::DOUBLE AS batch_start, (pos + frames) / 16000.0::DOUBLE AS batch_end, start AS original_start, start + frames / 16000.0::DOUBLE AS original_end, true AS is_speech FROM f2
   UNION ALL SELECT video_id, batch, 2 * k - 3, (pos - 3200) / 16000.0::DOUBLE, pos / 16000.0::DOUBLE, was, was, false FROM f2 WHERE k > 1)
@@ -336,13 +336,13 @@ def detection_groups(spark, d):
 
 @query("text_similarity")
 def text_similarity(spark, d):
-    pairs = fusion.candidate_pairs(X.primary(spark, d, whole=True), X.shown(spark, d, whole=True), 0.3)
+    pairs = fusion.candidate_pairs(X.primary(spark, d), X.shown(spark, d), 0.3)
     return pairs.select("a.video_id", F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), T.label_free_similarity(F.col("a.text"), F.col("b.text")).alias("similarity"))
 
 
 @query("whisper_ocr_merge")
 def whisper_ocr_merge(spark, d):
-    return fusion.fuse(X.primary(spark, d, whole=True), X.shown(spark, d, whole=True))
+    return fusion.fuse(X.primary(spark, d), X.shown(spark, d))
 
 
 @query("ensemble_alignment", f"""
@@ -354,12 +354,12 @@ def ensemble_alignment(spark, d):
 
 @query("text_split")
 def text_split(spark, d):
-    return ensemble.align(X.primary(spark, d, whole=True), X.secondary(spark, d, whole=True))
+    return ensemble.align(X.primary(spark, d), X.secondary(spark, d))
 
 
 @query("ensemble_merge")
 def ensemble_merge(spark, d):
-    return ensemble.reconcile(X.primary(spark, d, whole=True), X.secondary(spark, d, whole=True))
+    return ensemble.reconcile(X.primary(spark, d), X.secondary(spark, d))
 
 
 @query("junk_cues", f'SELECT video_id, ord FROM labelled WHERE NOT ("end" - start < 0.5 AND length({STRIP("text")}) < 5)')
@@ -458,7 +458,7 @@ def llm_filter_stub(spark, d):
 
 @query("adjudicate_stub")
 def adjudicate_stub(spark, d):
-    cues = ensemble.reconcile(X.primary(spark, d, whole=True), X.secondary(spark, d, whole=True))
+    cues = ensemble.reconcile(X.primary(spark, d), X.secondary(spark, d))
     resolved = completion.adjudicate(cues.filter("decision = 'pending'"), _echo)
     return ensemble.non_empty(ensemble.apply_resolutions(cues, resolved)).select("video_id", "ord", "start", "end", "text", "decision")
 
@@ -470,7 +470,7 @@ def translate_stub(spark, d):
 
 @query("process_whisper")
 def process_whisper(spark, d):
-    return pipeline.spoken_cues(X.speech(spark, d), X.primary(spark, d, whole=True), X.chunks(spark, d))
+    return pipeline.spoken_cues(X.speech(spark, d), X.primary(spark, d), X.chunks(spark, d))
 
 
 #: The profile for screen text alone: no limit on repeats, lower confidence.
@@ -484,10 +484,10 @@ def process_ocr(spark, d):
 
 @query("process_ensemble")
 def process_ensemble(spark, d):
-    return pipeline.ensemble_cues(X.primary(spark, d, whole=True), X.secondary(spark, d, whole=True), X.speech(spark, d), complete=_echo)
+    return pipeline.ensemble_cues(X.primary(spark, d), X.secondary(spark, d), X.speech(spark, d), complete=_echo)
 
 
 @query("process_merged")
 def process_merged(spark, d):
     events = pipeline.screen_events(X.detections(spark, d), F.lit(1080), SCREEN_ONLY)
-    return pipeline.process(S.speech_cues(X.speech(spark, d), X.primary(spark, d, whole=True)), events, SCREEN_ONLY)
+    return pipeline.process(S.speech_cues(X.speech(spark, d), X.primary(spark, d)), events, SCREEN_ONLY)

@@ -22,15 +22,19 @@ def wav_info(content: bytes) -> tuple[int, int, float]:
         return w.getnframes(), w.getframerate(), w.getnframes() / w.getframerate()
 
 
-def cut_wav(content: bytes, parts: list[tuple[float, float]], silence: float = 0.0) -> bytes:
-    """The parts one after the other, silence between; bounds are whole frames within the file. A part without frames is an error."""
+def cut_wav(content: bytes, parts: list[tuple[float, float]], silence: float = 0.0, batch: bool = False) -> bytes:
+    """The parts one after the other, silence between; bounds are whole frames within the file. A part without frames is an error.
+
+    A part ends at the frame of its end; in a batch it has int((end - start) * rate) frames, as `batch_mapping` counts them.
+    """
     out = io.BytesIO()
     with wave.open(io.BytesIO(content)) as w:
         rate, size, frames = w.getframerate(), w.getsampwidth() * w.getnchannels(), w.getnframes()
         with wave.open(out, "wb") as v:
             v.setparams(w.getparams())
             for k, (start, end) in enumerate(parts):
-                a, b = max(0, int(start * rate)), min(frames, int(end * rate))
+                a = max(0, int(start * rate))
+                b = min(frames, a + int((end - start) * rate) if batch else int(end * rate))
                 if b <= a:
                     raise ValueError(f"no audio between {start} and {end}")
                 if k:
@@ -51,16 +55,18 @@ def wav_durations(wavs: DataFrame) -> DataFrame:
     return wavs.select("path", "content").mapInArrow(run, "path string, frames long, rate long, duration double")
 
 
-def wav_clips(wavs: DataFrame, clips: DataFrame, silence: float = 0.2) -> DataFrame:
+def wav_clips(wavs: DataFrame, clips: DataFrame, silence: float = 0.2, batch: bool = False) -> DataFrame:
     """path, clip, content, error: clips has path, clip, and parts (array of start, end). What can't be cut has an error and no content."""
     rows = clips.join(wavs, "path").select("path", "clip", "parts", "content")
 
+    by_length = batch
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             content, errors = [], []
             for parts, data in zip(batch.column("parts").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    content.append(cut_wav(data, [(p["start"], p["end"]) for p in parts], silence))
+                    content.append(cut_wav(data, [(p["start"], p["end"]) for p in parts], silence, by_length))
                     errors.append(None)
                 except (ValueError, wave.Error, EOFError) as e:
                     content.append(None)

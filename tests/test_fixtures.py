@@ -10,7 +10,7 @@ def test_whole_texts_of_all_documents(spark, tmp_path):
     spark.createDataFrame([(i, text(i)) for i in range(300)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     want = {text(i).replace("\n", " ") for i in range(300)}
     for lend in (fixtures.primary, fixtures.secondary, fixtures.shown):
-        rows = lend(spark, d, whole=True).collect()
+        rows = lend(spark, d).collect()
         assert len(rows) == 500 and {r.text for r in rows} <= want
-    assert {r.text for r in fixtures.primary(spark, d, whole=True).collect()} == want
+    assert {r.text for r in fixtures.primary(spark, d).collect()} == want
     assert {r.text for r in queries.QUERIES["ensemble_merge"](spark, d).collect()} & want

@@ -60,6 +60,10 @@ def test_batch_mapping_and_time(spark):
     mapping = S.batch_mapping(S.speech_batches(segs(spark, [(1, 3), (5, 7)]), 40, 0.2), 0.2)
     rows = out(mapping.orderBy("entry"), "batch_start", "batch_end", "original_start", "original_end", "is_speech")
     assert rows == [(0, 2, 1, 3, True), (2, 2.2, 3, 3, False), (2.2, 4.2, 5, 7, True)]
+    # At ten frames a second, 0.35 s has 3 frames and 0.23 s has 2; the silence stands for the end that the segment has, not for its last frame.
+    coarse = S.batch_mapping(S.speech_batches(segs(spark, [(0.5, 0.85), (1.05, 1.28), (2, 3)]), 40, 0.2), 0.2, rate=10)
+    want = [(0.0, 0.3, 0.5, 0.8, True), (0.3, 0.5, 0.85, 0.85, False), (0.5, 0.7, 1.05, 1.25, True), (0.7, 0.9, 1.28, 1.28, False), (0.9, 1.9, 2.0, 3.0, True)]
+    assert [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in out(coarse.orderBy("entry"), "batch_start", "batch_end", "original_start", "original_end", "is_speech")] == want
     own = spark.createDataFrame([(0, 0, 0, 0.0, 2.0, 10.0, 12.0), (0, 0, 1, 2.0, 2.2, 12.0, 12.0)], "video_id long, batch long, entry long, batch_start double, batch_end double, original_start double, original_end double")
     times = spark.createDataFrame([(0, 0, t) for t in (2.1, -1.0, 5.0, 1.0)], "video_id long, batch long, t double")
     assert dict(out(S.map_batch_time(times, own, "t"), "t", "t_original")) == {2.1: 12.0, -1.0: 10.0, 5.0: 12.0, 1.0: 11.0}
