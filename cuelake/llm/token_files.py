@@ -38,50 +38,103 @@ from .common import new_path, staged, table, text_of
 
 SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 LEVEL = 3
-#: Distinct pre-tokens that a worker remembers, and the longest it remembers.
-CACHE_WORDS, CACHE_CHARS = 600_000, 64
+#: Distinct units per generation of a worker's memory, and the longest unit it remembers.
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 
 # The pre-tokenizer's pattern, spelled out for texts of the first 256 characters.
 _LETTER, _NUMBER, _BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
 _CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+").findall
+_LINES = re.compile(r"(?<=\S)\n(?=\S)").split
 
 
-class BpeEncoder:
-    """Whole-text encoding by the tokenizers library, which sees each distinct pre-token once.
+def _evenly_spaced(text: str) -> bool:
+    """Whether all white space is single blanks and line feeds between other characters."""
+    words = text.split()
+    return len("".join(words)) + len(words) - 1 == len(text) and len(words) - 1 == text.count(" ") + text.count("\n")
+
+
+# The character that byte-level BPE puts for each byte; printable ones stand for themselves.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {x: x for x in _SHOWN} | {x: 256 + k for k, x in enumerate(sorted(set(range(256)) - _SHOWN))}
+#: Signs that a pre-token of signs consists of, if they follow a letter and end a unit.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Units(dict):
+    """Ids by unit, learned where they are missing; what is used moves on when a new generation begins."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.old = learn, {}
 
-    Byte-level BPE never merges across pre-tokens. Texts with other characters, or with the
-    strings of special tokens, go through the library whole.
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit) or self.learn(unit)
+        if len(unit) <= CACHE_CHARS:
+            self[unit] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+class BpeEncoder:
+    """Whole-text encoding by the tokenizers library, which sees each distinct word once.
+
+    Byte-level BPE never merges across pre-tokens, and a pre-token starts at every single blank
+    or line feed between two other characters, and behind such a line feed. What stands
+    between them is a unit, with the blank in front. A unit of letters, perhaps with signs at its
+    end, is one pre-token, or two, and goes to the library's model as such; others go through the whole library.
+    Stretches with other white space are cut by the pre-tokenizer's pattern if they hold only
+    the first 256 characters; others, and texts with the strings of special tokens, go
+    through the library whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain, self.blank = _Units(self._ids), _Units(lambda unit: self._ids(unit, " "))
+        self.signs = _Units(self.whole)
+        self.line = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, unit: str, before: str = "") -> bytes:
+        word = unit.rstrip(_SIGNS)
+        if not word.isalpha():
+            return self.whole(before + unit)
+        if word != unit:
+            return (self.blank if before else self.plain)[word] + self.signs[unit[len(word) :]]
+        return array("I", [t.id for t in self.model.tokenize((before + word).encode().decode("latin-1").translate(_BYTES))]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = []
+        first, after, out = self.plain.__getitem__, self.blank.__getitem__, []
         for t in texts:
-            try:
-                (t or "").encode("latin-1")
-                words.append(None if any(s in t for s in self.special) else _CUT(t)) if t else words.append([])
-            except UnicodeEncodeError:
-                words.append(None)
-        if len(self.cache) > CACHE_WORDS:  # what this batch needs stays
-            self.cache = {w: self.cache[w] for ws in words if ws for w in ws if w in self.cache}
-        cache = self.cache
-        fresh = list({w for ws in words if ws for w in ws if w not in cache})
-        cache.update(zip(fresh, self._whole(fresh)))
-        whole = iter(self._whole([t for t, ws in zip(texts, words) if ws is None]))
-        out = [next(whole) if ws is None else b"".join(map(cache.__getitem__, ws)) for ws in words]
-        for w in fresh:
-            if len(w) > CACHE_CHARS:
-                del cache[w]
+            if not t:
+                out.append(b"")
+            elif any(s in t for s in self.special):
+                out.append(self.whole(t))
+            else:
+                lines, even = (t.split("\n"), True) if _evenly_spaced(t) else (_LINES(t), False)
+                ids = []
+                for line in lines:
+                    if even or _evenly_spaced(line) and "\n" not in line:
+                        units = iter(line.split(" "))
+                        ids.append(b"".join([first(next(units)), *map(after, units)]))
+                    elif line.isascii() or max(line) < "\u0100":
+                        ids.append(b"".join(map(first, _CUT(line))))
+                    else:
+                        ids.append(self.whole(line))
+                out.append(self.line.join(ids))
+        for held in (self.plain, self.blank, self.signs):
+            held.age()
         return out
 
 
