@@ -13,6 +13,21 @@ from pyspark.sql import types as T
 MOST_CHARS = 4 << 20
 
 
+def text_slices(batch: pa.RecordBatch, name: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of a batch and their texts: at most `size` rows and about MOST_CHARS characters each."""
+    at = 0
+    while at < batch.num_rows:
+        texts, chars = [], 0
+        for value in batch.column(name).slice(at, size):
+            text = value.as_py()
+            if texts and chars + len(text or "") > MOST_CHARS:
+                break
+            texts.append(text)
+            chars += len(text or "")
+        yield batch.slice(at, len(texts)), texts
+        at += len(texts)
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list], dict[str, list]]], fields: list[tuple[str, T.DataType]], size: int = 512, keep: Sequence[str] = ()) -> DataFrame:
     """id_col, the columns in keep, and the given fields per row of docs.
 
@@ -32,19 +47,8 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                texts, chars = [], 0
-                for value in batch.column("__text").slice(at, size):
-                    text = value.as_py()
-                    if texts and chars + len(text or "") > MOST_CHARS:
-                        break
-                    texts.append(text)
-                    chars += len(text or "")
-                part = batch.slice(at, len(texts))
-                at += len(texts)
+            for part, texts in text_slices(batch, "__text", size):
                 out = each(texts)
-                del texts
                 columns = [*(part.column(n) for n in out_names), *(out[k] if isinstance(out[k], pa.Array) else pa.array(out[k], kind) for k, kind in kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*out_names, *(k for k, _ in kinds)])
 

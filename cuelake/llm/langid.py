@@ -9,7 +9,8 @@ costs `penalty`, labels spans of mixed texts. The language with most letters is
 prediction, its share of all letters the score.
 
 Defined results: texts that are null or have no letter get `und`, score 0 and no spans. A
-word in a script that no language writes gives no evidence. Of languages with equally many
+word in a script that no language writes gives no evidence: its letters count for no language,
+so a text of such words alone has score 0. Of languages with equally many
 letters the first by name is predicted. Without any labelled row every text gets `und`. A
 row whose language is null is not learned from. An empty table gives an empty result.
 Other columns are not read.
@@ -17,7 +18,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_texts
+from .arrow import map_texts, text_slices
 from .common import table
 from .shingles import mix
 
 BUCKETS, PENALTY, SMOOTHING = 1 << 17, 12.0, 0.1
 #: A language writes a script if at least this share of its letters are in it.
 SCRIPT_SHARE = 0.01
-MAX_LANGUAGES = 1000
 
 # The first code points of ranges of the basic plane and the script from there on.
 SCRIPT_RANGES = [
@@ -102,8 +102,8 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
                 mine = np.flatnonzero(langs == lang)
-                for at in range(0, len(mine), 256):
-                    _, letters, script, _, grams = words_of(batch.column("text").take(pa.array(mine[at : at + 256])).to_pylist())
+                for _, texts in text_slices(batch.take(pa.array(mine)), "text", 256):
+                    _, letters, script, _, grams = words_of(texts)
                     total = totals.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
                     total[:BUCKETS] += np.bincount(grams, minlength=BUCKETS)
                     total[BUCKETS:] += np.bincount(script, weights=letters, minlength=len(SCRIPTS)).astype(np.int64)
@@ -116,14 +116,14 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
 
 
 class LanguageModel:
-    def __init__(self, counts: list[tuple[str, int, int]]):
-        self.languages = sorted({r[0] for r in counts})
-        if len(self.languages) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        index = {x: i for i, x in enumerate(self.languages)}
-        table = np.zeros((BUCKETS + len(SCRIPTS), len(self.languages)))
+    def __init__(self, counts: Iterable[tuple[str, int, int]]):
+        columns: dict[str, np.ndarray] = {}
         for lang, bucket, n in counts:
-            table[bucket, index[lang]] = n
+            if lang not in columns:
+                columns[lang] = np.zeros(BUCKETS + len(SCRIPTS))
+            columns[lang][bucket] = n
+        self.languages = sorted(columns)
+        table = np.column_stack([columns[x] for x in self.languages]) if columns else np.zeros((BUCKETS + len(SCRIPTS), 0))
         grams, letters = table[:BUCKETS], table[BUCKETS:]
         self.logs = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32) if self.languages else grams.astype(np.float32)
         self.writes = letters >= SCRIPT_SHARE * np.maximum(1, letters.sum(axis=0))
@@ -143,8 +143,8 @@ class LanguageModel:
         scores[~allowed.any(axis=1)] = 0
         path = self._viterbi(scores, bounds, penalty)
         doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        share = np.bincount(doc * k + path, weights=letters, minlength=len(texts) * k).reshape(len(texts), k)
-        total = share.sum(axis=1)
+        share = np.bincount(doc * k + path, weights=letters * allowed.any(axis=1), minlength=len(texts) * k).reshape(len(texts), k)
+        total = np.bincount(doc, weights=letters, minlength=len(texts))
         best = share.argmax(axis=1)
         cut = np.ones(n, bool)
         cut[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
@@ -162,7 +162,7 @@ class LanguageModel:
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = bounds[:-1][order], lengths[order]
         active = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
-        back = np.zeros(len(scores), np.uint16)  # the language before, of a word that changes; else marked by stay
+        back = np.zeros(len(scores), np.uint16 if scores.shape[1] < 1 << 16 else np.uint32)  # the language before, of a word that changes; else marked by stay
         stay = np.ones(scores.shape, bool)
         value = np.zeros((len(starts), scores.shape[1]), np.float32)
         for t, m in enumerate(active.tolist()):
@@ -189,7 +189,7 @@ class LanguageModel:
 
 def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:
     known = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    return LanguageModel([(r.lang, r.bucket, r.n) for r in count_trigrams(known).toLocalIterator()])
+    return LanguageModel((r.lang, r.bucket, r.n) for r in count_trigrams(known).toLocalIterator())
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.LongType())]))

@@ -3,7 +3,7 @@
 A document's set holds its distinct shingles of `words` words (A-Z in lower case, words
 parted by ASCII white space). Two documents are linked if the Jaccard similarity of their
 whole sets is at least `percent` / 100; the result gives each document its connected
-component. Shingles are compared by 64-bit hashes.
+component. Shingles are compared by 64-bit hashes, so a set is confirmed up to chance equal hashes.
 
 1. Each document gets HyperMinHash registers and a 128-bit hash of its set. Documents with
    equal sets are one node from here on, however many there are.
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import text_slices
 from .common import maybe_broadcast, staged, table
 from .components import components
 from .shingles import HyperMinHash, shingle_sets
@@ -48,9 +49,8 @@ def _signatures(words: int, id_type: T.DataType, with_sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = HyperMinHash(BANDS * ROWS, MANTISSA)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = shingle_sets(part.column("text").to_pylist(), words)
+            for part, texts in text_slices(batch, "text", 512):
+                sets = shingle_sets(texts, words)
                 nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 out = {"id": part.column("id"), "text_hash": part.column("text_hash"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.binary())}
                 out["registers"] = pa.array([sketch.registers(s).tobytes() if len(s) else None for s in sets], pa.binary())

@@ -371,6 +371,7 @@ def test_languages():
     got = m.label(["the dog and the cat", "und die katze", "кошка", None, "", "123 !?", "the cat and the dog of this house und die katze aus diesem haus mit dem hund", "中文"])
     assert [g[0] for g in got] == ["en", "de", "ru", "und", "und", "und", "de", "de"]
     assert [x for x, _ in got[6][2]] == ["en", "de"] and 0 < got[6][1] < 1
+    assert got[7][1] == 0.0 and got[0][1] == 1.0  # no language writes that script, so nothing speaks for one
     assert langid.LanguageModel([]).label(["text"]) == [("und", 0.0, [])]
 
 
