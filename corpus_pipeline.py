@@ -5,7 +5,7 @@ and gives the same columns; the last gives token ids. Documents are filtered and
 dedup, shortened; n_chars follows the text. `run` stages every result in the shared folder.
 
 Defined results: rows with null or empty texts are rejected by language ID, as they have no
-letter. A document all of whose lines repeat earlier ones has nothing left and is dropped.
+letter, and so are texts in scripts that no learned language writes. A document all of whose lines repeat earlier ones has nothing left and is dropped.
 Rows that repeat an id and its text share every decision. Columns other than those of
 `documents` are dropped by the first stage. Empty tables give an empty result.
 """
@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     model = langid.train(docs)
     found = langid.identify(docs, model, keep=COLUMNS[1:])
-    return found.filter(F.col("lang_pred") != "und").select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

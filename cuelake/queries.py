@@ -468,7 +468,7 @@ def translate_stub(spark, d):
     return completion.translate(X.primary(spark, d).withColumn("source_hint", F.lit(None).cast("string")), _echo)
 
 
-@query("process_whisper")
+@query("process_whisper", ASSIGN + 'SELECT r.video_id, r.ord, start + "offset" AS start, "end" + "offset" AS "end", text FROM ranked r JOIN chunk USING (video_id)')
 def process_whisper(spark, d):
     return pipeline.spoken_cues(X.speech(spark, d), X.primary(spark, d), X.chunks(spark, d))
 
