@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_text, matches_whole, plain_similarity, strip
@@ -206,9 +206,9 @@ def crop_box(width: Column, height: Column, top: float = 0.0, bottom: float = 0.
 
 
 def boxes_by_area(boxes: DataFrame, keys: Sequence[str] = ("video_id", "frame_time")) -> DataFrame:
-    """Boxes worth reading (5 pixels each way, 100 in area), the largest first."""
+    """Boxes worth reading (5 pixels each way, 100 in area), with their rank in the frame, the largest first."""
     w, h = F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1")
-    return boxes.filter((w >= 5) & (h >= 5) & (w * h >= 100)).orderBy(*keys, (w * h).desc(), "ord")
+    return boxes.filter((w >= 5) & (h >= 5) & (w * h >= 100)).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy((w * h).desc(), "ord")))
 
 
 def folded_angle(angle: Column) -> Column:

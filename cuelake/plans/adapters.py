@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import socket
 import subprocess
+import tempfile
 import time
 import urllib.request
 import uuid
@@ -101,20 +103,26 @@ def speech_log(wav: str, program: str, model: str, max_speech: float = 6.0) -> s
 
 
 class CliTranscriber:
-    """Runs a transcription program per clip; reads its JSON."""
+    """Runs a transcription program per clip; reads its JSON. With a folder, answers are kept there by content and used again."""
 
-    def __init__(self, program: str, model: str, options: tuple[str, ...] = (), folder: str = "/tmp"):
+    def __init__(self, program: str, model: str, options: tuple[str, ...] = (), folder: str | None = None):
         self.program, self.model, self.options, self.folder = program, model, options, folder
 
     def transcribe(self, wav: bytes) -> list[dict]:
-        base = f"{self.folder}/{uuid.uuid4().hex}"
-        try:
+        held = Path(self.folder, f"{hashlib.sha256(wav).hexdigest()}.json") if self.folder else None
+        if held is not None and held.exists():
+            return offsets_segments(held.read_text(encoding="utf-8"))
+        with tempfile.TemporaryDirectory(prefix="cuelake-clip-") as scratch:
+            base = f"{scratch}/clip"
             Path(f"{base}.wav").write_bytes(wav)
             run_program([self.program, "-m", self.model, *self.options, "-oj", "-of", base, "-f", f"{base}.wav"])
-            return offsets_segments(Path(f"{base}.json").read_text(encoding="utf-8"))
-        finally:
-            for x in ("wav", "json"):
-                Path(f"{base}.{x}").unlink(missing_ok=True)
+            text = Path(f"{base}.json").read_text(encoding="utf-8")
+        if held is not None:
+            held.parent.mkdir(parents=True, exist_ok=True)
+            draft = held.with_name(f".{uuid.uuid4().hex}")
+            draft.write_text(text, encoding="utf-8")
+            draft.replace(held)
+        return offsets_segments(text)
 
 
 def offsets_segments(text: str) -> list[dict]:

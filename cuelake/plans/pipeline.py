@@ -81,14 +81,22 @@ def checked(segments: DataFrame, chunks: DataFrame, config: Config = Config(), k
     return judged
 
 
-def screen_events(detections: DataFrame, frame_height: Column, config: Config = Config(), complete: completion.Complete | None = None) -> DataFrame:
-    """On-screen events: blocked and too frequent texts go, frames are merged, detections become events, events are filtered and padded."""
+def screen_events(detections: DataFrame, frame_height: Column, config: Config = Config(), complete: completion.Complete | None = None, heights: DataFrame | None = None) -> DataFrame:
+    """On-screen events: blocked and too frequent texts go, frames are merged, detections become events, events are filtered and padded.
+
+    Repeats are counted over the events of each chunk where detections have one, so a text that
+    spans two chunks counts twice. heights (video_id and what frame_height refers to) is joined before the filter.
+    """
     own = config.ocr.filter
     clean = screen.drop_blocked(detections, own.blocklist_texts, own.blocklist_patterns)
     if own.max_text_repeats > 0:
-        clean = screen.drop_repeated(clean, screen.group_detections(clean), own.max_text_repeats)
+        clean = screen.drop_repeated(clean, screen.group_detections(clean, keys=CHUNK if "chunk" in clean.columns else CHUNK[:1]), own.max_text_repeats)
     events = screen.group_detections(screen.merge_frames(clean))
+    if heights is not None:
+        events = events.join(heights, "video_id")
+    columns = [c for c in events.columns if heights is None or c not in heights.columns or c == "video_id"]
     events = screen.filter_events(events, frame_height, min_confidence=own.min_confidence, min_ratio=own.min_box_height_ratio, max_ratio=own.max_box_height_ratio, min_length=own.min_text_length, texts=own.blocklist_texts, patterns=own.blocklist_patterns)
+    events = events.select(*columns)
     if complete is not None and config.ocr.llm_filter.enabled:
         c = config.ocr.llm_filter
         events = completion.clutter_filter(events, complete, c.batch_size, c.min_events, c.source_language, c.content_type)
@@ -109,10 +117,12 @@ def process(spoken: DataFrame | None, events: DataFrame | None, config: Config =
         cues = screen.events_to_cues(events)
     else:
         cues = fusion.fuse(spoken, events, m.overlap_threshold, m.agree_threshold, m.fill_gaps, m.gap_fill_min_duration, m.gap_fill_prefix)
-    if translate is not None:
-        t = config.translation
-        cues = completion.translate(cues, translate, t.batch_size, t.max_retries, t.min_split_size, source=t.source_language, target=t.target_language, context=t.context)
-    return cues
+    return cues if translate is None else translated(cues, config, translate)
+
+
+def translated(cues: DataFrame, config: Config, complete: completion.Complete) -> DataFrame:
+    t = config.translation
+    return completion.translate(cues, complete, t.batch_size, t.max_retries, t.min_split_size, source=t.source_language, target=t.target_language, context=t.context)
 
 
 def write_subtitles(cues: DataFrame, folder: str) -> DataFrame:

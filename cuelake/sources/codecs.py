@@ -29,7 +29,7 @@ def parse_manifest(rows: DataFrame) -> DataFrame:
 
 
 # The lines of a speech activity log.
-LOG_SEGMENT = r"VAD segment\s+(\d+):\s*start\s*=\s*([\d.]+),\s*end\s*=\s*([\d.]+)"
+LOG_SEGMENT = r"VAD segment\s+(\d+):\s+start\s*=\s*([\d.]+),\s*end\s*=\s*([\d.]+)"
 LOG_DONE = r"Final speech segments after filtering:\s*\d+"
 
 
@@ -71,6 +71,13 @@ def parse_seconds_json(rows: DataFrame, column: str = "value") -> DataFrame:
     return kept.select(*others, F.col("ord").cast("long").alias("ord"), number("start").alias("start"), number("end").alias("end"), "text")
 
 
+def parse_stored_transcript(rows: DataFrame, column: str = "value") -> DataFrame:
+    """ord, start, end, text of a transcript that transcription_json wrote: texts come back as they are, empty ones too."""
+    others = [c for c in rows.columns if c != column]
+    each = rows.select(*others, F.posexplode(F.from_json(F.col(column), "segments array<struct<start:double,end:double,text:string>>")["segments"]).alias("ord", "s"))
+    return each.select(*others, F.col("ord").cast("long").alias("ord"), "s.start", "s.end", "s.text")
+
+
 EVENTS = "frame_height bigint, events array<struct<start:double,end:double,box:array<int>,text:string,confidence:double,frame_count:bigint>>"
 
 

@@ -57,6 +57,20 @@ def report_json(judged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return judged.select(*keys, F.to_json(F.struct("verdict", "reason", "warnings", F.struct(*[c for c in judged.columns if c not in (*keys, "verdict", "reason", "warnings")]).alias("metrics")), {"pretty": "true"}).alias("json"))
 
 
+def with_sibling_srt(stored: DataFrame, rows: DataFrame, stem: Sequence[str], keys: Sequence[str] = (*KEYS, "chunk")) -> DataFrame:
+    """(name, body): for each JSON document (keys, json) `<stem>.json`, and beside it the same rows as `<stem>.srt`."""
+    name = F.concat_ws(".", *[F.col(k).cast("string") for k in keys], *map(F.lit, stem))
+    srt = stored.select(*keys).join(render_srt(rows, keys), list(keys), "left").select(F.concat(name, F.lit(".srt")).alias("name"), F.coalesce("srt", F.lit("\n")).alias("body"))
+    return stored.select(F.concat(name, F.lit(".json")).alias("name"), F.col("json").alias("body")).unionByName(srt)
+
+
+def summary_json(judged: DataFrame, keys: Sequence[str] = KEYS, chunk: str = "chunk") -> DataFrame:
+    """keys and json: {chunk_count, chunks} over the diagnostics rows of a video, by chunk."""
+    listed = F.array_sort(F.collect_list(F.struct(chunk, *[c for c in judged.columns if c not in (*keys, chunk)])))
+    grouped = judged.groupBy(*keys).agg(listed.alias("chunks"))
+    return grouped.select(*keys, F.to_json(F.struct(F.size("chunks").alias("chunk_count"), "chunks"), {"pretty": "true"}).alias("json"))
+
+
 def write_documents(documents: DataFrame, folder: str, name: str, body: str) -> DataFrame:
     """One file per row under folder, which all executors share; gives the paths. Files are renamed into place, so tasks may run again."""
 

@@ -85,4 +85,4 @@ def test_kernels(spark):
     frames = spark.range(10).select(F.col("id").alias("frame_no"))
     assert [r[0] for r in out(screen.sampled(frames, F.lit(5.0), 2.0), "frame_no")] == [0, 2, 4, 6, 8]  # 2.5 rounds to 2
     boxes = spark.createDataFrame([(0, 0.0, 0, (0, 0, 4, 90)), (0, 0.0, 1, (0, 0, 20, 20)), (0, 0.0, 2, (0, 0, 9, 9)), (0, 0.0, 3, (0, 0, 30, 30))], "video_id long, frame_time double, ord long, box struct<x1:int,y1:int,x2:int,y2:int>")
-    assert [r[0] for r in out(screen.boxes_by_area(boxes), "ord")] == [3, 1]
+    assert [r[0] for r in out(screen.boxes_by_area(boxes).orderBy("rank"), "ord")] == [3, 1]
