@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -24,7 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
         if held is None:
             held = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="cuelake-")
         base = held
-    return f"{base.rstrip('/')}/cuelake-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/cuelake-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_drop, spark, path)
+    return path
+
+
+_FOLDERS: set[str] = set()
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """When the driver ends in good order, what it staged goes; results have been written by then."""
+    with contextlib.suppress(Exception):
+        remove(spark, path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -64,7 +79,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete everything that this application staged; call it once results are written."""
+    """Delete everything that this application staged; for long-lived applications, once results are written. At the driver's end it goes by itself."""
     remove(spark, shared_dir(spark))
 
 

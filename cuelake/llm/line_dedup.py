@@ -38,8 +38,9 @@ from .common import count_within, maybe_broadcast, staged, table, text_of
 
 THRESHOLD, MIN_CHARS = 2, 24
 
-#: Letters whose counts bound the edit distance from below, one byte each in a long.
-COUNTED = "etaniors"
+#: Letters whose counts bound the edit distance from below, one byte each in a long; lines of more than SOME_CHARS characters
+#: are told apart well enough by the first SOME of them.
+COUNTED, SOME, SOME_CHARS = "etaniors", 4, 98
 
 #: Lines of crowded keys are also told apart by the counts of these.
 ALL_COUNTED = "abcdefghijklmnopqrstuvwxyz .,"
@@ -61,23 +62,33 @@ def normalised(text: Column) -> Column:
     return F.lower(F.when(rare, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text))
 
 
-def letter_counts(line: Column) -> Column:
-    """A long of the counts of letters modulo 256."""
-    total = F.lit(0).cast("long")
-    for k, c in enumerate(COUNTED):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(255)), 8 * k))
-    return total
+def letter_counts(line: Column, n: Column) -> Column:
+    """A long of the counts of letters modulo 256 of a line of n characters."""
 
+    def counts(letters) -> Column:
+        total = F.lit(0).cast("long")
+        for k, c in letters:
+            size = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+            total = total.bitwiseOR(F.shiftleft(size.cast("long").bitwiseAND(F.lit(255)), 8 * k))
+        return total
 
-def counts_within(a: Column, b: Column, threshold: int) -> Column:
-    """An edit changes the counts by 2 in sum at most, so larger differences rule a pair out."""
-    total = F.lit(0).cast("long")
-    for k in range(len(COUNTED)):
-        byte = lambda x, k=k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
-        d = (byte(a) - byte(b)).bitwiseAND(F.lit(255))
-        total = total + F.least(d, F.lit(256) - d)
-    return total <= 2 * threshold
+    letters = list(enumerate(COUNTED))
+    return counts(letters[:SOME]).bitwiseOR(F.when(n <= SOME_CHARS, counts(letters[SOME:])).otherwise(F.lit(0).cast("long")))
+
+
+def counts_within(a: Column, b: Column, longer: Column, threshold: int) -> Column:
+    """An edit changes the counts by 2 in sum at most, so larger differences rule a pair out whose longer line has so many characters."""
+
+    def differences(places: range) -> Column:
+        total = F.lit(0).cast("long")
+        for k in places:
+            byte = lambda x, k=k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
+            d = (byte(a) - byte(b)).bitwiseAND(F.lit(255))
+            total = total + F.least(d, F.lit(256) - d)
+        return total
+
+    few = differences(range(SOME))
+    return (few <= 2 * threshold) & ((longer > SOME_CHARS) | (few + differences(range(SOME, len(COUNTED))) <= 2 * threshold))
 
 
 def all_counts(line: Column) -> Column:
@@ -244,9 +255,11 @@ class EditJoin:
     def met(self, x: DataFrame, y: DataFrame, rule: Column) -> DataFrame:
         """(a, b) of the rows of x and y that share a key and can be near; the rule is part of the join, so buckets emit only what passes it."""
         x, y = (rows.select("key", *[F.col(k).alias(f"{k}{side}") for k in rows.columns if k in ("x", "n", "counts", "first", "more")]) for rows, side in ((x, "a"), (y, "b")))
-        near = (F.col("nb") - F.col("na")).between(-self.threshold, self.threshold) & counts_within(F.col("countsa"), F.col("countsb"), self.threshold)
+        near = (F.col("nb") - F.col("na")).between(-self.threshold, self.threshold)
         if "morea" in x.columns:
             near = near & all_counts_within(F.col("morea"), F.col("moreb"), self.threshold)
+        else:
+            near = near & counts_within(F.col("countsa"), F.col("countsb"), F.greatest("na", "nb"), self.threshold)
         return x.join(y.hint("merge"), (x["key"] == y["key"]) & rule & near).select(F.col("xa").alias("a"), F.col("xb").alias("b"))
 
     def later(self, pairs: DataFrame) -> DataFrame:
@@ -275,7 +288,7 @@ class EditJoin:
         found = self.later(pairs)
         return found if decided is None else found.union(decided).distinct()
 
-    # --- crowded keys: rows (key, x, line, n, gap, counts, more, first) of what is left of a line without the segments met so far,
+    # --- crowded keys: rows (key, x, line, n, gap, more, first) of what is left of a line without the segments met so far,
     # --- gap characters longer than the indexed line that it looks for.
 
     def finer(self, rows: DataFrame, places, keys: DataFrame | None = None) -> DataFrame:
@@ -286,7 +299,7 @@ class EditJoin:
         out = out if keys is None else out.join(keys, "key", "left_semi")
         rest = F.concat(F.substring("line", F.lit(1), F.col("p.at") - 1), F.substring("line", F.col("p.at") + F.col("p.size"), F.col("n")))
         more = "more" if "more" in rows.columns else all_counts(line).alias("more")
-        return out.select("key", "x", rest.alias("line"), (F.col("n") - F.col("p.size")).alias("n"), "gap", "counts", more, "first")
+        return out.select("key", "x", rest.alias("line"), (F.col("n") - F.col("p.size")).alias("n"), "gap", more, "first")
 
     def finer_index(self, rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
         return self.finer(rows, lambda m: index_places(m, self.threshold), keys)
@@ -297,7 +310,7 @@ class EditJoin:
     def crowded_pairs(self, keys: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(x of lines that stars have decided, pairs (a, b) of an earlier line and an open one that share crowded keys all the way down)."""
         gaps, decided, pairs = range(self.threshold + 1), None, []
-        base = self.lines.select(top().alias("key"), "x", "line", "n", F.lit(0).alias("gap"), "counts", "first")
+        base = self.lines.select(top().alias("key"), "x", "line", "n", F.lit(0).alias("gap"), "first")
         fit = lambda k: base.join(lengths, F.col("n") - k == F.col("m"), "left_semi").withColumn("gap", F.lit(k))
         index, probe = self.finer_index(fit(0), keys), self.finer_probe(reduce(DataFrame.union, map(fit, gaps)), False, gaps, keys)
         index, probe = (staged(rows, "crowded-lines") for rows in (index, probe))
@@ -325,9 +338,8 @@ class EditJoin:
         """x of decided lines, with those that are near the earliest open line of a key, for some rounds."""
         for _ in range(ROUNDS):
             left = index if decided is None else index.join(maybe_broadcast(decided), "x", "left_anti")
-            pivots = maybe_broadcast(staged(left.groupBy("key").agg(F.min(F.struct("first", "x")).alias("p"), F.min_by("counts", F.struct("first", "x")).alias("counts0"), F.min_by("more", F.struct("first", "x")).alias("more0")).select("key", F.col("p.x").alias("pivot"), "counts0", "more0"), "pivots"))
-            near = counts_within(F.col("counts"), F.col("counts0"), self.threshold) & all_counts_within(F.col("more"), F.col("more0"), self.threshold)
-            star = left.join(pivots, "key").filter(F.col("x") != F.col("pivot")).filter(near)
+            pivots = left.groupBy("key").agg(F.min_by(F.struct("x", "more"), F.struct("first", "x")).alias("p")).select("key", F.col("p.x").alias("pivot"), F.col("p.more").alias("more0"))
+            star = left.join(maybe_broadcast(staged(pivots, "pivots")), "key").filter(F.col("x") != F.col("pivot")).filter(all_counts_within(F.col("more"), F.col("more0"), self.threshold))
             near = self.later(staged(star.select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct(), "star-pairs"))
             if near.isEmpty():
                 return near if decided is None else decided
@@ -349,7 +361,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen, line = occurrences(docs, id_col, text_col), F.col("line")
     merged = seen.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times"), F.first("line").alias("line"))
     lines = staged(
-        merged.select(F.monotonically_increasing_id().alias("x"), "h1", "h2", "first", "times", "line", F.length(line).alias("n"), letter_counts(line).alias("counts")),
+        merged.select(F.monotonically_increasing_id().alias("x"), "h1", "h2", "first", "times", "line", F.length(line).alias("n"), letter_counts(line, F.length(line)).alias("counts")),
         "lines",
         free=True,
     )
