@@ -8,11 +8,15 @@ earlier place. Places are ordered by document id (null last), then by a hash of
 document's text, then by line number, so rows that repeat both id and text are one document
 and share one decision. Equal lines are told by 128 bits of hash.
 
-Edits are found exactly: an indexed line is split into threshold + 1 segments, and of two
-lines within the threshold, the longer holds one of the shorter's segments at nearly the
-same place. Segments and the substrings that may equal them meet by hash of (length,
-segment number, content); pairs are then filtered by letter counts and verified by a banded
-bit-parallel edit distance. No pair that decides a line is missed.
+Edits are found exactly: a line is split into threshold + 1 segments, whose lengths depend
+only on its class of lengths. The segments of the first half are placed from the line's
+start, those of the second half from its end. Of two lines within the threshold, one segment
+of either is in the other, moved by no more than there are segments before (or behind) it. So
+a line is indexed by its own segments and probes with the moved ones, and lines just above the
+limit of a class have the keys of the class below, too. Keys are hashes of (class, segment
+number, content). Keys that only two lines share make their pair right in the aggregate that
+counts a key's lines; pairs are then filtered by length and letter counts and verified by a
+banded bit-parallel edit distance. No pair that decides a line is missed.
 
 A line is decided by any one earlier neighbour, so not all pairs of a large group are
 needed. Keys that index more than CROWD lines are crowded: the earliest line of each is
@@ -105,6 +109,20 @@ def segment(n: Column, parts: int, i: int) -> tuple[Column, Column]:
     return F.lit(1) + i * base + F.greatest(F.lit(0), i - long_from), base + F.when(i >= long_from, 1).otherwise(0)
 
 
+def class_of(n: Column, threshold: int) -> Column:
+    """The least length of the class of lines of n characters, of which there are more than threshold."""
+    unit = 4
+    while unit < threshold:
+        unit *= 2
+    width = F.when(n < 8 * unit, unit).when(n < 16 * unit, 2 * unit).when(n < 32 * unit, 4 * unit).otherwise(8 * unit)
+    return F.greatest(F.lit(threshold + 1), n - n % width).cast("int")
+
+
+def class_below(n: Column, m: Column, threshold: int) -> Column:
+    """The class below m, if lines of it can be near one of n characters, which is of class m; else null."""
+    return F.when((n - m < threshold) & (m > threshold + 1), class_of(m - 1, threshold))
+
+
 Place = tuple[int, Column, Column]
 
 
@@ -113,21 +131,26 @@ def top() -> Column:
     return F.lit(0).cast("long")
 
 
-def index_places(m: Column, threshold: int) -> list[Place]:
-    """(segment, start, length) of the segments of a line of m characters."""
-    return [(i, *segment(m, threshold + 1, i)) for i in range(threshold + 1)]
+def index_places(n: Column, m: Column, threshold: int) -> list[Place]:
+    """(segment, start, length) of the segments by class m of a line of n characters, n at least m."""
+    out = []
+    for i in range(threshold + 1):
+        at, size = segment(m, threshold + 1, i)
+        out.append((i, at if 2 * i <= threshold else at + n - m, size))
+    return out
 
 
-def probe_places(m: Column, threshold: int, shorter: int, own: bool = False) -> list[Place]:
-    """(segment, start, length) in a longer line of what can equal a segment of a line of m characters, `shorter` fewer.
+def probe_places(n: Column, m: Column, threshold: int, both: bool = False) -> list[Place]:
+    """(segment, start, length) of what can equal a segment of another line that is moved.
 
-    A line's own segments are only in it if own is set: equally long lines that share one meet by their
-    index keys. No place lies outside the line as long as a segment has a character.
+    Up to 2 edits, moves to the right do unless both are asked for: a segment that is moved to the
+    left has one edit before it, which seen from the other line moves that one's to the right, where
+    none of its other segments is in place. No place lies outside the line.
     """
     out = []
-    for i, at, size in index_places(m, threshold):
-        low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
-        out += [(i, at + shift, size) for shift in range(low, high + 1) if own or shorter or shift]
+    for i, at, size in index_places(n, m, threshold):
+        most = min(i, threshold - i)
+        out += [(i, at + shift, size) for shift in range(-most if both or threshold > 2 else 1, most + 1) if shift]
     return out
 
 
@@ -136,6 +159,18 @@ def place_key(line: Column, m: Column, at: Place, within: Column) -> Column:
     return F.xxhash64(within, m.cast("long") * 16 + at[0], F.substring(line, at[1], at[2]))
 
 
+def line_keys(line: Column, n: Column, m: Column, threshold: int) -> Column:
+    """The keys of a line by class m, those of its own segments first."""
+    return F.array(*[place_key(line, m, p, top()) for p in index_places(n, m, threshold) + probe_places(n, m, threshold)])
+
+
+def with_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """lines (line, n) with keys, of its class, and below, null or those of the class below."""
+    line, n, m, b = F.col("line"), F.col("n"), F.col("m"), F.col("b")
+    out = lines.withColumn("m", class_of(n, threshold)).withColumn("b", class_below(n, m, threshold))
+    return out.withColumns({"keys": line_keys(line, n, m, threshold), "below": F.when(b.isNotNull(), line_keys(line, n, b, threshold))}).drop("m", "b")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -235,112 +270,122 @@ def place() -> Column:
 class EditJoin:
     """The lines that have an earlier one within threshold edits.
 
-    lines: x (a number of its own), line, n (its length), counts and first (its place), distinct,
-    of more than 2 * threshold characters.
+    lines: x (a number of its own), line, n (its length) and first (its place), distinct, of more than
+    2 * threshold characters. Where texts is given, which looks up (x, line, first) of the x of a
+    table, lines hold keys and below (see with_keys) instead of line.
     """
 
-    def __init__(self, lines: DataFrame, threshold: int, crowd: int = CROWD, depth: int = DEPTH):
+    def __init__(self, lines: DataFrame, threshold: int, crowd: int = CROWD, depth: int = DEPTH, texts=None):
         self.lines, self.threshold, self.crowd, self.depth = lines, threshold, crowd, depth
+        self.texts = texts or (lambda wanted: lines.select("x", "line", "first").join(wanted, "x", "left_semi"))
+        self.keyed = self.rows_of_keys(lines if texts else with_keys(lines, threshold))
 
-    def index(self) -> DataFrame:
-        line, n = F.col("line"), F.col("n")
-        return self.lines.select(F.explode(F.array(*[place_key(line, n, p, top()) for p in index_places(n, self.threshold)])).alias("key"), "x", "n", "counts")
-
-    def probe(self) -> DataFrame:
-        """One projection for each difference of lengths: a method with all keys is too long to be compiled."""
-        line, n = F.col("line"), F.col("n")
-        keys = lambda k: F.array(*[place_key(line, n - k, p, top()) for p in probe_places(n - k, self.threshold, k)])
-        return reduce(DataFrame.union, [self.lines.select(F.explode(keys(k)).alias("key"), "x", "n", "counts") for k in range(self.threshold + 1)])
+    def rows_of_keys(self, lines: DataFrame) -> DataFrame:
+        """key, x, n and own: whether the key is that of a segment in its place."""
+        parts = lambda c: F.posexplode(c).alias("at", "key")
+        rows = lines.select("x", "n", parts("keys")).union(lines.filter(F.col("below").isNotNull()).select("x", "n", parts("below")))
+        return rows.select("key", "x", "n", (F.col("at") <= self.threshold).alias("own"))
 
     def met(self, x: DataFrame, y: DataFrame, rule: Column) -> DataFrame:
         """(a, b) of the rows of x and y that share a key and can be near; the rule is part of the join, so buckets emit only what passes it."""
-        x, y = (rows.select("key", *[F.col(k).alias(f"{k}{side}") for k in rows.columns if k in ("x", "n", "counts", "first", "more")]) for rows, side in ((x, "a"), (y, "b")))
+        x, y = (rows.select("key", *[F.col(k).alias(f"{k}{side}") for k in rows.columns if k in ("x", "n", "first", "more")]) for rows, side in ((x, "a"), (y, "b")))
         near = (F.col("nb") - F.col("na")).between(-self.threshold, self.threshold)
         if "morea" in x.columns:
             near = near & all_counts_within(F.col("morea"), F.col("moreb"), self.threshold)
-        else:
-            near = near & counts_within(F.col("countsa"), F.col("countsb"), F.greatest("na", "nb"), self.threshold)
         return x.join(y.hint("merge"), (x["key"] == y["key"]) & rule & near).select(F.col("xa").alias("a"), F.col("xb").alias("b"))
 
-    def later(self, pairs: DataFrame) -> DataFrame:
-        """x: of each pair (a, b) within the threshold the line that occurs first at the later place."""
+    def later(self, pairs: DataFrame, texts=None) -> DataFrame:
+        """x: of each pair (a, b) within the threshold the line that occurs first at the later place. texts: as in the class."""
         wanted = maybe_broadcast(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct())
-        texts = staged(self.lines.select("x", "line", "first").join(wanted, "x", "left_semi"), "line-texts")
-        side = lambda k: texts.select(F.col("x").alias(k), F.col("line").alias(f"l{k}"), F.col("first").alias(f"f{k}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(bounded_distance(F.col("la"), F.col("lb"), self.threshold) <= self.threshold)
-        return staged(both.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct(), "near-lines")
+        line = F.col("line")
+        found = staged((texts or self.texts)(wanted).withColumns({"n": F.length(line), "counts": letter_counts(line, F.lit(0))}), "line-texts")
+        side = lambda k: found.select(F.col("x").alias(k), *[F.col(c).alias(c + k) for c in ("line", "first", "n", "counts")])
+        alike = (F.col("nb") - F.col("na")).between(-self.threshold, self.threshold) & counts_within(F.col("countsa"), F.col("countsb"), F.lit(0), self.threshold)
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).filter(bounded_distance(F.col("linea"), F.col("lineb"), self.threshold) <= self.threshold)
+        return staged(both.select(F.when(F.col("firsta") > F.col("firstb"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct(), "near-lines")
 
     def crowded(self, index: DataFrame) -> DataFrame:
-        """key and m, the length that it stands for."""
-        return staged(index.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("m")).filter(F.col("lines") > self.crowd).select("key", "m"), "crowded-keys")
+        return staged(index.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > self.crowd).select("key"), "crowded-keys")
 
     def near_lines(self) -> DataFrame:
         """x of every line that has an earlier neighbour."""
-        index, probe = self.index(), self.probe()
-        crowded, decided = self.crowded(index), None
+        size = [F.count(F.lit(1)).alias("rows"), F.sum(F.col("own").cast("int")).alias("lines")]
+        ends = [f(c).alias(name + c) for c in ("x", "n") for f, name in ((F.min, "least_"), (F.max, "most_"))]
+        shared = self.keyed.groupBy("key").agg(*size, *ends).filter("lines > 0 AND least_x < most_x")
+        shared = staged(shared.filter((F.col("rows") > 2) | (F.col("most_n") - F.col("least_n") <= self.threshold)), "shared-keys", free=True)
+        two = shared.filter("rows = 2").select(F.col("least_x").alias("a"), F.col("most_x").alias("b"))
+        many = maybe_broadcast(shared.filter("rows > 2").select("key", (F.col("lines") > self.crowd).alias("is_crowded")))
+        rows = staged(self.keyed.join(many, "key"), "rows-of-keys")
+        crowded, rows = rows.filter("is_crowded"), rows.filter("NOT is_crowded")
+        index, probe = rows.filter("own"), rows.filter("NOT own")
+        pairs = [two, self.met(index, index, F.col("xa") < F.col("xb")), self.met(index, probe, F.col("xa") != F.col("xb"))]
+        decided = None
         if not crowded.isEmpty():
-            keys = maybe_broadcast(crowded.select("key"))
-            index, probe = (rows.join(keys, "key", "left_anti") for rows in (index, probe))
-            decided, more = self.crowded_pairs(keys, maybe_broadcast(crowded.select("m").distinct()))
-        # Only the names differ between the two uses of the index, so its exchange is made once. Of equally long lines each pair is met once.
-        pairs = self.met(index, index, F.col("xa") < F.col("xb")).union(self.met(index, probe, F.lit(True)))
-        pairs = staged((pairs if decided is None else pairs.union(more)).distinct(), "line-pairs")
-        found = self.later(pairs)
+            decided, more = self.crowded_pairs(crowded)
+            pairs.append(more)
+        pairs = reduce(DataFrame.union, pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = self.later(staged(pairs.distinct(), "line-pairs"))
         return found if decided is None else found.union(decided).distinct()
 
-    # --- crowded keys: rows (key, x, line, n, gap, more, first) of what is left of a line without the segments met so far,
-    # --- gap characters longer than the indexed line that it looks for.
+    # --- crowded keys: rows (key, x, line, n, more, first) of what is left of a line without the segments met so far.
 
     def finer(self, rows: DataFrame, places, keys: DataFrame | None = None) -> DataFrame:
         """Rows by the places in them: the key within the key before (only those in keys, if given), and the line without that place."""
-        line, m = F.col("line"), F.col("n") - F.col("gap")
-        parts = [F.struct(place_key(line, m, p, F.col("key")).alias("key"), p[1].alias("at"), p[2].alias("size")) for p in places(m)]
+        line, n, m = F.col("line"), F.col("n"), F.col("m")
+        of_class = class_of(n, self.threshold)
+        rows = rows.withColumn("m", F.explode(F.array_compact(F.array(of_class, class_below(n, of_class, self.threshold)))))
+        parts = [F.struct(place_key(line, m, p, F.col("key")).alias("key"), p[1].alias("at"), p[2].alias("size")) for p in places(n, m)]
         out = rows.withColumn("p", F.explode(F.array(*parts))).withColumn("key", F.col("p.key"))
         out = out if keys is None else out.join(keys, "key", "left_semi")
         rest = F.concat(F.substring("line", F.lit(1), F.col("p.at") - 1), F.substring("line", F.col("p.at") + F.col("p.size"), F.col("n")))
         more = "more" if "more" in rows.columns else all_counts(line).alias("more")
-        return out.select("key", "x", rest.alias("line"), (F.col("n") - F.col("p.size")).alias("n"), "gap", more, "first")
+        return out.select("key", "x", rest.alias("line"), (F.col("n") - F.col("p.size")).alias("n"), more, "first")
 
     def finer_index(self, rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-        return self.finer(rows, lambda m: index_places(m, self.threshold), keys)
+        return self.finer(rows, lambda n, m: index_places(n, m, self.threshold), keys)
+
+    def finer_probe(self, rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+        return self.finer(rows, lambda n, m: probe_places(n, m, self.threshold), keys)
 
-    def finer_probe(self, rows: DataFrame, own: bool, gaps: range, keys: DataFrame | None = None) -> DataFrame:
-        return reduce(DataFrame.union, [self.finer(rows.filter(F.col("gap") == k), lambda m, k=k: probe_places(m, self.threshold, k, own), keys) for k in gaps])
+    def finer_other(self, rows: DataFrame) -> DataFrame:
+        """As rows of probes only meet those of the index, they have all places."""
+        return self.finer(rows, lambda n, m: index_places(n, m, self.threshold) + probe_places(n, m, self.threshold, both=True))
 
-    def crowded_pairs(self, keys: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def crowded_pairs(self, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(x of lines that stars have decided, pairs (a, b) of an earlier line and an open one that share crowded keys all the way down)."""
-        gaps, decided, pairs = range(self.threshold + 1), None, []
-        base = self.lines.select(top().alias("key"), "x", "line", "n", F.lit(0).alias("gap"), "first")
-        fit = lambda k: base.join(lengths, F.col("n") - k == F.col("m"), "left_semi").withColumn("gap", F.lit(k))
-        index, probe = self.finer_index(fit(0), keys), self.finer_probe(reduce(DataFrame.union, map(fit, gaps)), False, gaps, keys)
-        index, probe = (staged(rows, "crowded-lines") for rows in (index, probe))
+        decided, pairs = None, []
+        keys = maybe_broadcast(crowded.select("key").distinct())
+        texts = staged(self.texts(maybe_broadcast(crowded.select("x").distinct())), "crowded-texts")
+        looked_up = lambda wanted: texts.join(wanted, "x", "left_semi")
+        base = texts.select(top().alias("key"), "x", "line", F.length("line").alias("n"), "first")
+        index, probe = (staged(rows, "crowded-lines") for rows in (self.finer_index(base, keys), self.finer_probe(base, keys)))
         for level in range(self.depth):
-            decided = self.stars(index, decided)
+            decided = self.stars(index, decided, looked_up)
             if level + 1 == self.depth:
                 pairs.append(self.open_pairs(index, probe, decided))
                 break
-            short = F.col("n") - F.col("gap") <= self.threshold  # too short for finer segments
-            short_index, short_probe = index.filter(short), probe.filter(short)
-            if not short_index.isEmpty():
-                pairs.append(self.open_pairs(short_index, short_probe, decided))
-            index, probe = index.filter(~short), probe.filter(~short)
-            index, probe = self.finer_index(index), self.finer_probe(index, False, range(1)).union(self.finer_probe(probe, True, gaps))
+            # Lines too short for finer segments, and those that can be near them.
+            short = [rows.filter(F.col("n") <= 2 * self.threshold) for rows in (index, probe)]
+            if not short[0].isEmpty():
+                pairs.append(self.open_pairs(*short, decided))
+            index, probe = (rows.filter(F.col("n") > self.threshold) for rows in (index, probe))
+            index, probe = self.finer_index(index), self.finer_probe(index).union(self.finer_other(probe))
             index, probe = (staged(rows, "finer-lines") for rows in (index, probe))
             crowded = self.crowded(index)
-            keys = maybe_broadcast(crowded.select("key"))
+            keys = maybe_broadcast(crowded)
             pairs.append(self.open_pairs(*(rows.join(keys, "key", "left_anti") for rows in (index, probe)), decided))
             if crowded.isEmpty():
                 break
             index, probe = (staged(rows.join(keys, "key", "left_semi"), "crowded-lines") for rows in (index, probe))
         return decided, reduce(DataFrame.union, pairs)
 
-    def stars(self, index: DataFrame, decided: DataFrame | None) -> DataFrame:
+    def stars(self, index: DataFrame, decided: DataFrame | None, texts) -> DataFrame:
         """x of decided lines, with those that are near the earliest open line of a key, for some rounds."""
         for _ in range(ROUNDS):
             left = index if decided is None else index.join(maybe_broadcast(decided), "x", "left_anti")
-            pivots = left.groupBy("key").agg(F.min_by(F.struct("x", "more"), F.struct("first", "x")).alias("p")).select("key", F.col("p.x").alias("pivot"), F.col("p.more").alias("more0"))
-            star = left.join(maybe_broadcast(staged(pivots, "pivots")), "key").filter(F.col("x") != F.col("pivot")).filter(all_counts_within(F.col("more"), F.col("more0"), self.threshold))
-            near = self.later(staged(star.select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct(), "star-pairs"))
+            pivots = left.groupBy("key").agg(F.min_by(F.struct("x", "n", "more"), F.struct("first", "x")).alias("p")).select("key", F.col("p.x").alias("pivot"), F.col("p.n").alias("n0"), F.col("p.more").alias("more0"))
+            star = left.join(maybe_broadcast(staged(pivots, "pivots")), "key").filter((F.col("x") != F.col("pivot")) & (F.col("n") - F.col("n0")).between(-self.threshold, self.threshold)).filter(all_counts_within(F.col("more"), F.col("more0"), self.threshold))
+            near = self.later(staged(star.select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct(), "star-pairs"), texts)
             if near.isEmpty():
                 return near if decided is None else decided
             decided = near if decided is None else staged(decided.union(near).distinct(), "decided-lines")
@@ -358,14 +403,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row of docs: id_col, the columns in keep, n_lines, n_repeated, n_near and text without the dropped lines."""
     if min_chars <= 2 * threshold:
         raise ValueError("min_chars must exceed twice the threshold")
-    seen, line = occurrences(docs, id_col, text_col), F.col("line")
-    merged = seen.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times"), F.first("line").alias("line"))
-    lines = staged(
-        merged.select(F.monotonically_increasing_id().alias("x"), "h1", "h2", "first", "times", "line", F.length(line).alias("n"), letter_counts(line, F.length(line)).alias("counts")),
-        "lines",
-        free=True,
-    )
-    near = EditJoin(lines.filter(F.col("n") >= min_chars), threshold).near_lines().withColumn("near", F.lit(True))
+    seen, n = staged(occurrences(docs, id_col, text_col), "occurrences"), F.col("n")
+    # Lines are told apart without their texts: those are looked up for the few that share a key.
+    keyed = with_keys(seen.withColumn("n", F.length("line")), threshold)
+    merged = keyed.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("n", "keys", "below")])
+    lines = staged(merged.select(F.monotonically_increasing_id().alias("x"), "*"), "lines", free=True)
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """x, line and first of the lines in wanted, read at the place where they occur first."""
+        found = maybe_broadcast(lines.select("x", "first").join(wanted, "x", "left_semi")).alias("f")
+        at = (F.col("s.doc_hash") == F.col("f.first.doc_hash")) & (F.col("s.line_no") == F.col("f.first.line_no")) & F.col("s.id").eqNullSafe(F.col("f.first.id"))
+        return seen.alias("s").join(found, at).select("f.x", "s.line", "f.first").dropDuplicates(["x"])
+
+    near = EditJoin(lines.filter(n >= min_chars).select("x", "n", "keys", "below"), threshold, texts=texts).near_lines().withColumn("near", F.lit(True))
     judged = lines.select("x", "h1", "h2", "first", "times").join(maybe_broadcast(near), "x", "left").filter("times > 1 OR near")
     judged = staged(judged.select("h1", "h2", "first", "times", F.coalesce("near", F.lit(False)).alias("near")), "judged-lines", free=True)
     drops = _dropped(seen.select("id", "doc_hash", "line_no", "h1", "h2"), judged).groupBy("id", "doc_hash").agg(F.collect_set(F.struct("line_no", "repeated")).alias("gone"))
@@ -373,7 +423,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"), F.struct(F.lit(0).alias("none"), *keep).alias("kept"))
     joined = rows.alias("r").join(drops.alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.doc_hash") == F.col("d.doc_hash")), "left")
     gone, again = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce(F.size(F.filter("gone", lambda g: g["repeated"])), F.lit(0))
-    ends = F.length("r.text") - F.length(F.replace("r.text", F.lit("\n"), F.lit("")))
+    ends = F.octet_length("r.text") - F.octet_length(F.replace("r.text", F.lit("\n"), F.lit("")))
     parts = F.split("r.text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), ends), F.col("gone.line_no"))
     return joined.select(
@@ -397,7 +447,7 @@ def _dropped(seen: DataFrame, judged: DataFrame) -> DataFrame:
         common = F.broadcast(common.select("h1", "h2", F.col("first").alias("first0"), F.col("near").alias("near0")))
         rest = judged.filter(F.col("times") < COMMON).select(F.col("h1").alias("dealt"), "h2", F.col("first").alias("first1"), F.col("near").alias("near1"))
         dealt = F.when(F.col("near0").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_hash", "line_no"))
-        both = seen.join(common, ["h1", "h2"], "left").withColumn("dealt", dealt).join(rest, ["dealt", "h2"], "left")
+        both = seen.join(common, ["h1", "h2"], "left").withColumn("dealt", dealt).join(rest.hint("shuffle_hash"), ["dealt", "h2"], "left")
         hit = both.withColumns({"first": F.coalesce("first0", "first1"), "near": F.coalesce("near0", "near1")})
     else:
         hit = seen.join(judged, ["h1", "h2"])

@@ -241,3 +241,29 @@ def test_letter_counts_at_their_limits(spark):
     counts = [line_dedup.letter_counts(x, F.length(x)) for x in (a, b)]
     got = frame.select("a", "want", line_dedup.counts_within(*counts, F.greatest(F.length(a), F.length(b)), 2).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_keys_of_near_lines(spark, threshold):
+    """Near lines share a key that one of them has for a segment in its place, on both sides of a class's limit; at 2 edits a line has four keys a class."""
+    r = random.Random(threshold)
+    pairs = []
+    while len(pairs) < 600:
+        a = "".join(r.choice("abcdefgé") for _ in range(r.choice([r.randint(2 * threshold + 1, 40), r.randint(60, 70), r.randint(126, 131)])))
+        b = list(a)
+        for _ in range(r.randint(0, threshold)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = r.choice(["", "h", "é"])
+        if len(b) > 2 * threshold:
+            pairs.append((a, "".join(b)))
+    lines = sorted({x for p in pairs for x in p})
+    frame = spark.createDataFrame([(x, len(x)) for x in lines], "line string, n int")
+    keys = {}
+    for line, own, below in line_dedup.with_keys(frame, threshold).select("line", "keys", "below").collect():
+        keys[line] = [k for k in (own, below) if k]
+    for a, b in pairs:
+        every = [{k for part in keys[x] for k in part} for x in (a, b)]
+        placed = [{k for part in keys[x] for k in part[: threshold + 1]} for x in (a, b)]
+        assert placed[0] & every[1] or placed[1] & every[0], (a, b)
+    if threshold == 2:
+        assert {len(part) for parts in keys.values() for part in parts} == {4}
